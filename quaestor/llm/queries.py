@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.llm.licenses import license_scan
+from quaestor.llm.mixing import mix, mix_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by source weights takes of every document."""
+    return mix(_table(spark, sf_dir, "documents")).drop("epochs", "blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
+    "op5_mix_sources": op5_mix_sources,
+}
+ORACLES: dict[str, str] = {
+    "op5_mix_sources": mix_sql(),
 }
-ORACLES: dict[str, str] = {}
