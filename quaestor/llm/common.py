@@ -114,10 +114,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range [start, end), by prefix sums of a polynomial."""
+def range_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes, for range_hashes."""
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=prefix[1:])
+    return prefix
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each byte range [start, end)."""
+    prefix = range_sums(data) if prefix is None else prefix
     h = (prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts]
     return mixed(h ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
