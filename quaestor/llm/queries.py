@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.llm.bpe import encode_documents
 from quaestor.llm.licenses import license_scan
 from quaestor.llm.mixing import mix, mix_sql
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
@@ -26,6 +28,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("epochs", "blocks")
 
 
+def rank_file(path: str) -> bytes:
+    """A tokenizer's rank file, read on the driver; it goes to the workers as a broadcast."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded."""
+    ranks = rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with the number of offending sentences."""
     docs = _table(spark, sf_dir, "documents")
@@ -37,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
