@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.bpe import encode_documents
 from quaestor.llm.licenses import license_scan
+from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
 
@@ -18,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines dropped from every document, its source being the site."""
+    done = dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan of every document."""
     return license_scan(_table(spark, sf_dir, "documents"))
@@ -49,11 +56,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": dedup_lines_sql(),
     "op5_mix_sources": mix_sql(),
 }
