@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm.bpe import encode_documents
+from quaestor.llm.exact import EXACT_SQL, exact_groups
 from quaestor.llm.licenses import license_scan
 from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
@@ -47,6 +48,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with the number of offending sentences."""
     docs = _table(spark, sf_dir, "documents")
@@ -60,9 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": dedup_lines_sql(),
     "op5_mix_sources": mix_sql(),
+    "op9_exact_dedup": EXACT_SQL,
 }
