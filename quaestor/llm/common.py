@@ -44,14 +44,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table (as JSON) up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def measured(table: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table written and measured: marked for broadcast if it is small, else left for a shuffled join."""
+    table = written(table, name)
+    size = table.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """Like written(), in buckets of a key, so that joins on the key need no exchange of this side."""
+    """Like written(), in buckets of a key, so that joins on the key need no exchange of this side.
+
+    df must come dealt by repartition(buckets, key), so that each task writes one bucket.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
     (
-        df.repartition(buckets, key)
-        .write.option("compression", "zstd")
+        df.write.option("compression", "zstd")
         .option("path", path)
         .format("parquet")
         .bucketBy(buckets, key)

@@ -13,6 +13,7 @@ from quaestor.llm.exact import EXACT_SQL, exact_groups
 from quaestor.llm.licenses import license_scan
 from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
+from quaestor.llm.suffix import dedup_substrings
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
 
 
@@ -36,6 +37,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("epochs", "blocks")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that long strings repeat elsewhere."""
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def rank_file(path: str) -> bytes:
     """A tokenizer's rank file, read on the driver; it goes to the workers as a broadcast."""
     with open(path, "rb") as file:
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
