@@ -4,7 +4,8 @@ A line is boilerplate of a site if more than max_ratio of the site's pages hold
 at least. Counts come in two passes: first by 64-bit line hash, which can only count too high; then
 the few lines whose hash passed are counted by their exact text. A site has fewer than (lines of a
 page) / max_ratio such lines on average, so they travel to the pages as one small array for each
-site, and no text is shuffled.
+site. These tables are measured: while small they are broadcast and no text is shuffled; with very
+many sites the join is shuffled, and AQE splits the pages of a hot site.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.common import measured
+
 #: Parameters of the registered query and the pipeline.
 MAX_RATIO = 0.05
 MIN_PAGES = 3
@@ -32,10 +35,7 @@ def _own_lines(text: Column) -> Column:
 
 
 def with_site(df: DataFrame, by_site: DataFrame, how: str = "left") -> DataFrame:
-    """Joins a per-site table; the null site matches itself.
-
-    Left to the planner: broadcast by measured size, beyond that AQE splits a hot site's rows.
-    """
+    """Joins a per-site table; the null site matches itself."""
     right = by_site.withColumnRenamed("site", "_site")
     return df.join(right, F.col("site").eqNullSafe(F.col("_site")), how).drop("_site")
 
@@ -43,6 +43,7 @@ def with_site(df: DataFrame, by_site: DataFrame, how: str = "left") -> DataFrame
 def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Boilerplate lines of each site. pages: site, text. Returns site, boiler (array of lines)."""
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
+    totals = measured(totals, "site_pages")
 
     def frequent(counts: DataFrame) -> DataFrame:
         common = with_site(counts.where(F.col("n") >= min_pages), totals, "inner")
@@ -50,9 +51,11 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
     hashed = pages.select("site", F.explode(F.transform(_own_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("h"))
     likely = frequent(hashed.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))).groupBy("site").agg(F.collect_set("h").alias("hashes"))
+    likely = measured(likely, "likely_lines")
     narrowed = with_site(pages.select("site", "text"), likely, "inner")
     exact = narrowed.select("site", F.explode(F.filter(_own_lines(F.col("text")), lambda x: F.array_contains(F.col("hashes"), F.xxhash64(x)))).alias("line"))
-    return frequent(exact.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))).groupBy("site").agg(F.collect_set("line").alias("boiler"))
+    found = frequent(exact.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))).groupBy("site").agg(F.collect_set("line").alias("boiler"))
+    return measured(found, "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, site_column: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
