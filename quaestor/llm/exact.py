@@ -94,6 +94,11 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_recipes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sha binary, recipe array<bigint>")
 
 
+def contents_of(texts: DataFrame) -> DataFrame:
+    """id and content of the chunks of texts, some more than once."""
+    return texts.mapInArrow(_chunks, "id bigint, content binary")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of equal texts.
 
@@ -103,10 +108,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     known = written(recipes(docs), "recipes")
-    shared = known.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("recipe")
-    suspects = known.join(shared, "recipe", "left_semi").select("sha").distinct()
+    # A hot recipe is summed up by text before its texts are listed, of which there is one but for hash collisions.
+    by_text = known.groupBy("recipe", "sha").agg(F.count(F.lit(1)).alias("n"))
+    shared = by_text.groupBy("recipe").agg(F.sum("n").alias("n"), F.collect_set("sha").alias("shas")).where(F.col("n") > 1)
+    suspects = shared.select(F.explode("shas").alias("sha"))
     texts = docs.select("text", text_key().alias("sha")).join(suspects.hint("shuffle_hash"), "sha", "left_semi").select("text")
-    contents = texts.mapInArrow(_chunks, "id bigint, content binary").distinct()
+    contents = contents_of(texts).distinct()
     mistaken = written(contents.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id"), "mistaken")
     if mistaken.isEmpty():
         named = known.withColumn("more", F.lit(None).cast("binary"))

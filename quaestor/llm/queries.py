@@ -13,6 +13,7 @@ from quaestor.llm.exact import EXACT_SQL, exact_groups
 from quaestor.llm.licenses import license_scan
 from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
+from quaestor.llm.near import near_duplicates
 from quaestor.llm.suffix import dedup_substrings
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
 
@@ -42,6 +43,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def rank_file(path: str) -> bytes:
     """A tokenizer's rank file, read on the driver; it goes to the workers as a broadcast."""
     with open(path, "rb") as file:
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_order_minhash": op7_order_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
