@@ -267,13 +267,13 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-_FOUND = "h bigint, n bigint, slice int, uid bigint, first int, last int, digests binary, starts binary, single binary"
+_FOUND = "uid bigint, first int, last int, h bigint, part int, slice int, digests binary, uids binary, starts binary, done binary"
 
 
 def _shard_rows(slice_size: int):
     """(h, n, slice, uid, start, context), sorted by h and slice, to byte ranges that repeat.
 
-    For contexts of sliced anchors also rows with the sorted digests of their windows, to be merged.
+    For slices of an anchor also rows (h, part, slice) with the sorted digests of their windows, to be merged.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,54 +301,69 @@ def _shard_rows(slice_size: int):
 
 
 def _pack(frame: pd.DataFrame, slice_size: int) -> pd.DataFrame:
-    frame = frame[frame["context"].str.len() > 0]
     contexts = frame["context"].tolist()
     columns = [c.split(" ")[0] for c in _FOUND.split(", ")]
-    if not contexts:
-        return pd.DataFrame({c: [] for c in columns})
     flags, at = repeated(contexts)
-    hs, ns, slices = frame["h"].to_numpy(), frame["n"].to_numpy(), frame["slice"].to_numpy()
     uids, starts = frame["uid"].to_numpy(), frame["start"].to_numpy()
     first, last = _runs_of(flags)
     row = np.searchsorted(at, first, "right") - 1
     base = starts[row] - at[row]
-    out = pd.DataFrame({"h": hs[row], "n": ns[row], "slice": slices[row], "uid": uids[row], "first": first + base, "last": last + base + LENGTH - 1})
+    out = pd.DataFrame({"uid": uids[row], "first": first + base, "last": last + base + LENGTH - 1}).reindex(columns=columns)
+    out = out.astype({c: object for c in columns[3:]}).where(out.notna(), None)
+    hs, ns, slices = frame["h"].to_numpy(), frame["n"].to_numpy(), frame["slice"].to_numpy()
     more = []
-    for k in np.flatnonzero(ns > slice_size).tolist():
-        context = contexts[k]
-        own = [hashlib.md5(context[i : i + LENGTH]).digest() + b"\x01" for i in range(len(context) - LENGTH + 1)]
-        more.append((hs[k], ns[k], slices[k], uids[k], 0, 0, b"".join(own), int(starts[k]).to_bytes(8, "little"), flags[at[k] : at[k] + len(own)].tobytes()))
-    out = out.reindex(columns=columns).astype({"digests": object, "starts": object, "single": object})
-    for c in ("digests", "starts", "single"):
-        out[c] = None
-    return pd.concat([out, pd.DataFrame(more, columns=columns)]) if more else out
-
-
-def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest rows of a context to rows (h, part, slice, uid, start, digest, done), dealt by the digest's first bits."""
-    for frame in batches:
-        for r in frame.itertuples():
-            d = np.frombuffer(r.digests, "S17")
-            parts = max(1, int(r.n) // 2048)
-            lead = np.frombuffer(r.digests, np.uint8).reshape(-1, 17)[:, :4].astype(np.int64)
-            part = (lead @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) * parts >> 32
-            start = int.from_bytes(r.starts, "little")
-            yield pd.DataFrame({"h": r.h, "part": part.astype(np.int32), "slice": r.slice, "uid": r.uid, "start": start + np.arange(len(d), dtype=np.int32), "digest": list(d), "done": np.frombuffer(r.single, bool)})
+    sliced = np.flatnonzero(ns > slice_size)
+    for h, k in sorted(set(zip(hs[sliced].tolist(), slices[sliced].tolist()))):
+        own = [c for c in sliced.tolist() if hs[c] == h and slices[c] == k]
+        more += [(None, None, None, h, part, k, *blobs) for part, blobs in _digest_parts(contexts, own, at, flags, uids, starts, int(ns[own[0]]))]
+    return pd.concat([out, pd.DataFrame(more, columns=columns, dtype=object)]) if more else out
+
+
+def _digest_parts(contexts, own, at, flags, uids, starts, n):
+    """Digests of a slice's windows, sorted, by part; of windows that repeat in the slice one each. With each its place."""
+    digest, uid, start, done = [], [], [], []
+    for c in own:
+        windows = len(contexts[c]) - LENGTH + 1
+        digest += [hashlib.md5(contexts[c][i : i + LENGTH]).digest() + b"\x01" for i in range(windows)]
+        uid.append(np.full(windows, uids[c], "<i8"))
+        start.append((starts[c] + np.arange(windows)).astype("<i4"))
+        done.append(flags[at[c] : at[c] + windows])
+    digest, uid, start, done = np.array(digest, "S17"), np.concatenate(uid), np.concatenate(start), np.concatenate(done)
+    order = np.argsort(digest, kind="stable")
+    digest, uid, start, done = digest[order], uid[order], start[order], done[order]
+    once = np.ones(len(digest), bool)
+    once[1:] = digest[1:] != digest[:-1]
+    digest, uid, start, done = digest[once], uid[once], start[once], done[once]
+    parts = max(1, n // 2048)
+    lead = np.frombuffer(digest.tobytes(), np.uint8).reshape(-1, 17)[:, :4].astype(np.int64)
+    part = (lead @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) * parts >> 32
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if b > a:
+            yield p, tuple(x[a:b].tobytes() for x in (digest, uid, start, done))
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """One part of a sliced anchor: places whose windows stand in two slices."""
-    digest = np.array(frame["digest"].tolist(), "S17")
-    slices = frame["slice"].to_numpy()
-    runs = [np.unique(digest[slices == s]) for s in np.unique(slices)]
+    """One part of a sliced anchor, a row for each slice: places whose windows stand in two slices."""
+    runs = [np.frombuffer(x, "S17") for x in frame["digests"]]
     twice = merged_runs(runs)
-    place = np.searchsorted(twice, digest)
-    hit = np.zeros(len(digest), bool)
-    inside = place < len(twice)
-    hit[inside] = twice[place[inside]] == digest[inside]
-    hit &= ~frame["done"].to_numpy(bool)
-    start = frame["start"].to_numpy()[hit]
-    return pd.DataFrame({"uid": frame["uid"].to_numpy()[hit], "first": start, "last": start + LENGTH})
+    uid, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for run, uids, starts, done in zip(runs, frame["uids"], frame["starts"], frame["done"]):
+        place = np.searchsorted(twice, run)
+        hit = np.zeros(len(run), bool)
+        inside = place < len(twice)
+        hit[inside] = twice[place[inside]] == run[inside]
+        hit &= ~np.frombuffer(done, bool)
+        uid.append(np.frombuffer(uids, "<i8")[hit])
+        start.append(np.frombuffer(starts, "<i4")[hit].astype(np.int64))
+    uid, start = np.concatenate(uid), np.concatenate(start)
+    order = np.lexsort((start, uid))
+    uid, start = uid[order], start[order]
+    new = np.ones(len(uid), bool)
+    new[1:] = (np.diff(uid) != 0) | (np.diff(start) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(uid))[: len(first)] - 1
+    return pd.DataFrame({"uid": uid[first], "first": start[first], "last": start[last] + LENGTH})
 
 
 def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +399,8 @@ def repeated_ranges(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame
     texts = bucketed(once.repartition(buckets, "sha").groupBy("sha").agg(F.max("text").alias("text"), F.sum("copies").alias("copies")), "texts", buckets, "sha")
     anchors = texts.select("sha", "text").mapInArrow(_anchor_rows, "sha binary, h array<bigint>, start array<int>, windows array<int>, anchors array<int>")
     anchors = written(anchors.where(F.size("h") > 0).withColumn("uid", F.monotonically_increasing_id()), "anchors")
-    live = anchors.select(F.inline(F.arrays_zip("h", "anchors"))).groupBy("h").agg(F.sum("anchors").alias("n")).where(F.col("n") > 1)
+    counted = anchors.select(F.inline(F.arrays_zip("h", "anchors"))).groupBy("h").agg(F.sum("anchors").alias("places"), F.count(F.lit(1)).alias("n"))
+    live = counted.where("places > 1").select("h", "n")
     places = anchors.select("uid", F.inline(F.arrays_zip("h", "start", "windows")))
     listed = places.join(live, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "start", "windows", "n")).alias("live"))
     listed = written(anchors.select("uid", "sha").join(listed, "uid"), "live_contexts")
@@ -395,9 +411,7 @@ def repeated_ranges(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (8 << 20))
     dealt = contexts.repartition(shards, "h", "slice").sortWithinPartitions("h", "slice")
     found = written(dealt.select("h", "n", "slice", "uid", "start", "context").mapInPandas(_shard_rows(slice_size), _FOUND), "found")
-    split = found.where(F.col("digests").isNotNull())
-    spread = split.mapInPandas(_spread, "h bigint, part int, slice int, uid bigint, start int, digest binary, done boolean")
-    across = spread.groupBy("h", "part").applyInPandas(_merge, "uid bigint, first int, last int")
+    across = found.where(F.col("digests").isNotNull()).groupBy("h", "part").applyInPandas(_merge, "uid bigint, first int, last int")
     ranges = found.where(F.col("digests").isNull()).select("uid", "first", "last").unionByName(across)
     by_text = ranges.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return texts, listed.select("uid", "sha").join(by_text, "uid").select("sha", "ranges")
