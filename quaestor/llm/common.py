@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch that written() sends to a Python worker, about; long rows make small batches.
+BATCH_BYTES = 16 << 20
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Bounds Arrow batches by bytes, too, while a table is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: lineage is cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,13 +81,8 @@ def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    (
-        df.write.option("compression", "zstd")
-        .option("path", path)
-        .format("parquet")
-        .bucketBy(buckets, key)
-        .saveAsTable(table)
-    )
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(table)
     return spark.table(table)
 
 
