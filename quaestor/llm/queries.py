@@ -17,11 +17,18 @@ from quaestor.llm.near import near_duplicates
 from quaestor.llm.suffix import dedup_substrings
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
 
+from quaestor.llm.urls import filter_urls
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines dropped from every document, its source being the site."""
     done = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -74,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
