@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.bpe import encode_documents
 from quaestor.llm.exact import EXACT_SQL, exact_groups
+from quaestor.llm.hamming import TOP_K_SQL, exact_top_k, sign_code
 from quaestor.llm.licenses import license_scan
 from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
@@ -29,6 +30,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every fiftieth embedding, among all."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return exact_top_k(codes, codes.where(F.col("id") % 50 == 0))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines dropped from every document, its source being the site."""
     done = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -82,6 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_hamming_top_k": op2_hamming_top_k,
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op2_hamming_top_k": TOP_K_SQL,
     "op3_line_dedup": dedup_lines_sql(),
     "op5_mix_sources": mix_sql(),
     "op9_exact_dedup": EXACT_SQL,

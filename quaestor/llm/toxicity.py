@@ -212,3 +212,18 @@ def score_documents(docs: DataFrame, model: NoisyOr, spans: bool = False, keep:
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return frame.mapInArrow(run, schema)
+
+
+def clean_documents(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays below the threshold."""
+    text = docs.columns.index("text")
+    weights, bias = model.weights, model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = NoisyOr(weights, bias)
+        for batch in batches:
+            data, offsets = byte_view(batch.column(text))
+            scores = [scorer.score(data, offsets[i : j + 1])[0] for i, j in spans_of(offsets, CHUNK)]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold if scores else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
