@@ -6,10 +6,13 @@ one sketch. Two texts share a sketch only if the same shingles stand in the same
 follow edit similarity. Texts that share a sketch are candidates; a banded alignment of their shingles
 (longest common subsequence within the band that the threshold allows) verifies them.
 
-Classes are the connected components of verified pairs. Candidates are compared in rounds, so that a
-large group of copies costs a few comparisons a text: first each text with the leader of its
-buckets, then with the other leaders of its buckets, then all pairs of a bucket that are still in
-different classes. No pair of a bucket goes unseen: it is verified, or both are in one class.
+Classes are the connected components of verified pairs. A bucket is led by its most central text, the
+one that shares most sketches. First each text is aligned with its most central leader, which joins
+most of a group of copies with one comparison a text. The texts that a leader led to, and that aren't
+in its class, then meet all its texts in blocks: shingles in common are counted exactly, on bits for
+the leader's shingles and by sorted search for others, and only pairs of different classes that share
+enough are aligned. So every pair of a bucket is in one class, or aligned, or known to share too few
+shingles; no pair is written but the verified ones.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ ORDER = 4
 SHORT, SHORT_ORDER = 20, 2
 SEED = 99
 BLOCK = 1 << 20
+#: Bytes of word hashes of one side of a block in which a leader's texts meet.
+MEET_BYTES = 4 << 20
 _PLACE_BITS = 24
 
 
@@ -224,51 +230,100 @@ def _verified(threshold: float):
     return run
 
 
+def _meet(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """Verified pairs of one block: texts outside the leader's class (side 1) with any of the leader's texts (side 2)."""
+        roles = frame["side"].to_numpy()
+        words = [np.frombuffer(w, "<u4") for w in frame["words"]]
+        seqs = [_shingle_ids(w) for w in words]
+        sets = [np.sort(labelled(s, np.array([0, len(s)]))) for s in seqs]
+        uid, root = frame["uid"].to_numpy(), frame["root"].to_numpy()
+        lead = sets[int(np.flatnonzero(roles == 0)[0])]
+        left, right = np.flatnonzero(roles == 1), np.flatnonzero(roles == 2)
+        bits = np.zeros((len(frame), -(-max(len(lead), 1) // 64) * 8), np.uint8)
+        other: list[np.ndarray] = []
+        for k, own in enumerate(sets):
+            place = np.minimum(np.searchsorted(lead, own), max(len(lead) - 1, 0))
+            held = lead[place] == own if len(lead) else np.zeros(len(own), bool)
+            flags = np.zeros(bits.shape[1] * 8, bool)
+            flags[place[held]] = True
+            bits[k] = np.packbits(flags)
+            other.append(own[~held])
+        lanes = bits.view(np.uint64)
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(right)), [len(other[k]) for k in right])
+        pool = np.concatenate([np.zeros(0, U64), *[other[k] for k in right]])
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        found = []
+        for k in left.tolist():
+            common = np.bitwise_count(lanes[k] & lanes[right]).sum(axis=1, dtype=np.int64)
+            a, b = np.searchsorted(pool, other[k], "left"), np.searchsorted(pool, other[k], "right")
+            for x, y in zip(a[b > a].tolist(), b[b > a].tolist()):
+                common += np.bincount(owner[x:y], minlength=len(right))
+            enough = common >= threshold / (1 + threshold) * (size[k] + size[right]) - 1e-9
+            for m in right[enough & (root[right] != root[k])].tolist():
+                x, y = find(int(root[k])), find(int(root[m]))
+                if x != y and alignment(seqs[k], seqs[m], threshold) >= threshold - 1e-12:
+                    joined[max(x, y)] = min(x, y)
+                    found.append((min(uid[k], uid[m]), max(uid[k], uid[m])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Distinct texts in candidate buckets (uid, sha), and the components of verified pairs (node, root)."""
     sketched = docs.select("text").mapInArrow(_sketch_rows, "sha binary, sketch array<bigint>")
     sketched = sketched.groupBy("sha").agg(F.first("sketch").alias("sketch"))
     sketched = written(sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
     entries = sketched.select("uid", F.explode(F.array_distinct("sketch")).alias("v"))
-    shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("leader")).where("n > 1").select("v", "leader")
+    shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(entries.join(shared, "v"), "buckets")
-    members = buckets.select("uid").distinct()
-    live = written(sketched.select("uid", "sha").join(members, "uid"), "candidates")
+    central = buckets.groupBy("uid").agg(F.sum("n").alias("central"))
+    live = written(sketched.select("uid", "sha").join(central, "uid"), "candidates")
     words = docs.select("text").mapInArrow(_word_rows, "sha binary, words binary")
-    words = words.join(live.hint("shuffle_hash"), "sha").groupBy("uid").agg(F.max("words").alias("words"))
+    words = words.join(live.select("sha", "uid").hint("shuffle_hash"), "sha").groupBy("uid").agg(F.max("words").alias("words"))
     words = written(words, "candidate_words")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(words.withColumnRenamed("uid", "a").withColumnRenamed("words", "x"), "a")
-        sides = sides.join(words.withColumnRenamed("uid", "b").withColumnRenamed("words", "y"), "b")
-        return written(sides.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a bigint, b bigint"), "verified")
-
-    # First round: each text with the smallest leader of its buckets.
-    pairs = buckets.groupBy("uid").agg(F.min("leader").alias("a")).where("a < uid").select("a", F.col("uid").alias("b"))
-    tried = written(pairs, "tried")
-    links = verify(tried)
+    ranked = buckets.select("v", "uid").join(live.select("uid", "central"), "uid")
+    leaders = ranked.groupBy("v").agg(F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("top"))
+    led = buckets.select("v", "uid").join(leaders, "v").groupBy("uid", "top").agg(F.count(F.lit(1)).alias("n"))
+    led = written(led.select("uid", (-F.col("top.minus")).alias("leader"), F.col("top.central").alias("central")), "led")
+
+    # Each text with its most central leader.
+    best = led.groupBy("uid").agg(F.max(F.struct("central", (-F.col("leader")).alias("minus"))).alias("top"))
+    pairs = best.select((-F.col("top.minus")).alias("a"), F.col("uid").alias("b")).where("a <> b")
+    sides = pairs.join(words.select(F.col("uid").alias("a"), F.col("words").alias("x")), "a")
+    sides = sides.join(words.select(F.col("uid").alias("b"), F.col("words").alias("y")), "b")
+    links = written(sides.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a bigint, b bigint"), "verified")
     roots = connected_components(links)
-    # Then with all leaders of its buckets, then whole buckets; only pairs of different classes, not tried yet.
-    for whole in (False, True):
-        known = roots.select(F.col("node").alias("uid"), "root")
-        placed = buckets.join(known, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        if whole:
-            open_ = placed.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("v")
-            split = placed.join(open_, "v").select("v", "uid", "root")
-            other = split.select("v", F.col("uid").alias("b"), F.col("root").alias("root_b"))
-            pairs = split.select("v", F.col("uid").alias("a"), F.col("root").alias("root_a")).join(other, "v").where("a < b and root_a <> root_b")
-        else:
-            lead = known.select(F.col("uid").alias("leader"), F.col("root").alias("root_a"))
-            pairs = placed.where("leader <> uid").join(lead, "leader", "left").withColumn("root_a", F.coalesce("root_a", "leader")).where("root_a <> root")
-            pairs = pairs.select(F.col("leader").alias("a"), F.col("uid").alias("b"))
-        pairs = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if pairs.isEmpty():
-            continue
-        found = verify(pairs)
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = connected_components(links)
+
+    # Then a leader's texts outside its class with all its texts.
+    known = live.select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
+    known = written(known.join(words.select("uid", F.octet_length("words").cast("long").alias("size")), "uid"), "known")
+    lead = known.select(F.col("uid").alias("leader"), F.col("root").alias("leader_root"))
+    placed = written(led.select("uid", "leader").join(known, "uid").join(lead, "leader"), "placed")
+    outside = F.col("root") != F.col("leader_root")
+    sums = placed.groupBy("leader").agg(F.sum(F.when(outside, F.col("size"))).alias("out"), F.sum("size").alias("all"))
+    sums = sums.where(F.col("out").isNotNull()).select("leader", *[F.ceil((F.col(c) + 1) / MEET_BYTES).cast("int").alias(f"n_{c}") for c in ("out", "all")])
+    open_ = placed.join(sums, "leader")
+    own = F.pmod(F.xxhash64("uid"), F.col("n_out")).cast("int"), F.pmod(F.xxhash64("uid"), F.col("n_all")).cast("int")
+    rest = F.sequence(F.lit(0), F.col("n_all") - 1), F.sequence(F.lit(0), F.col("n_out") - 1)
+    first = open_.where(outside).select("leader", "uid", "root", F.lit(1).alias("side"), own[0].alias("i"), F.explode(rest[0]).alias("j"))
+    second = open_.select("leader", "uid", "root", F.lit(2).alias("side"), F.explode(rest[1]).alias("i"), own[1].alias("j"))
+    heads = sums.select("leader", F.col("leader").alias("uid"), F.lit(-1).cast("long").alias("root"), F.lit(0).alias("side"), F.explode(rest[1]).alias("i"), "n_all")
+    heads = heads.select("leader", "uid", "root", "side", "i", F.explode(rest[0]).alias("j"))
+    blocks = first.unionByName(second).unionByName(heads).join(words, "uid")
+    more = written(blocks.groupBy("leader", "i", "j").applyInPandas(_meet(threshold), "a bigint, b bigint"), "verified")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
     return live, roots
 
 
