@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.llm.common import written
+
 #: Words: runs without white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parameters of the registered query.
@@ -105,6 +107,9 @@ def mix(
     empty table gives an empty result; a document takes max_epochs times its size at most.
     """
     df = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    if not keep:
+        # Words are counted once; without texts the table is narrow.
+        df = written(df, "sizes")
     df = df.withColumn("h", _seeded(seed, F.col("doc_id")))
     totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("n_shards"))
     targets = source_targets(totals, weights, max_epochs)
