@@ -4,7 +4,532 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quaestor.functions import dates as D
+from quaestor.functions import text as X
+from quaestor.functions import urls as U
+from quaestor.functions.stem import stems
+from quaestor.operators import dataset, evaluate, models, pages, rank, search
+from quaestor.operators.search import Search, and_, boosted, from_, from_to, match, or_, phrase, prefix, to_
+from quaestor.sources import views
+from quaestor.sources.views import docs, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+QUESTION = "Of the thhaea erin, enth: eringing onheed with erenenst and the laouèelleê?"
+TERMS = X.query_terms(QUESTION)
+TOP = 10
+ALLOW, DENY = r"/(en|fr)/[0-9]+", r"(utm_source|#top)"
+NEEDLES = ", ".join(f"'{t}'" for t in TERMS)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+DOCS = """docs as (select doc_id as uid, string_split(text, chr(10))[1] as question_title, text as question_body,
+  source as author_name, n_chars as question_view_count, lang from documents)"""
+WORDS = f"words as (select *, {X.duck_tokens('question_body')} as body, {X.duck_tokens('question_title')} as title from docs)"
+WITH = f"with {DOCS}, {WORDS}"
+POSTINGS = f"""postings as (select uid, zone, word, count(*) as freq from (
+    select uid, 'title' as zone, unnest(title) as word from words union all select uid, 'body' as zone, unnest(body) as word from words)
+  where length(word) > 3 and not regexp_full_match(word, '[0-9]+') and word not in ({X.duck_stopwords()}) group by uid, zone, word)"""
+ASKED = f"asked as (select * from postings where word in ({NEEDLES}))"
+
+
+# Scans, filters, search.
+
+
+@query(f"with {DOCS} select uid, question_title, author_name, question_view_count from docs where lang = 'en'")
+def scan_docs_project(spark, sf_dir):
+    return docs(spark, sf_dir).where("lang = 'en'").select("uid", "question_title", "author_name", "question_view_count")
+
+
+@query("""
+  with t as (select conv_id, turn, role, text, lead(role) over w as next_role, lead(text) over w as answer from conversations
+             window w as (partition by conv_id order by turn))
+  select conv_id, turn as question_number, text as question_body, answer as answer_body from t where role = 'user' and next_role = 'assistant'""")
+def qa_pairs(spark, sf_dir):
+    return views.qa_pairs(views.posts(spark, sf_dir))
+
+
+@query(f"""with {DOCS} select uid, lang, question_view_count from docs
+  where (lang = 'en' and question_view_count between 500 and 2000) or (author_name = 'src3' and question_view_count >= 3000) or (uid <= 20 and lang = 'fr')""")
+def filter_and_or_range(spark, sf_dir):
+    wanted = or_(
+        and_(F.col("lang") == "en", from_to("question_view_count", 500, 2000)),
+        and_(F.col("author_name") == "src3", from_("question_view_count", 3000)),
+        and_(to_("uid", 20), F.col("lang") == "fr"),
+    )
+    return Search(docs(spark, sf_dir)).where(wanted).select("uid", "lang", "question_view_count").run()
+
+
+@query(f"{WITH} select uid, question_title from words where list_has_any(body, [{NEEDLES}])")
+def match_any_terms(spark, sf_dir):
+    return Search(docs(spark, sf_dir)).where(match("question_body", QUESTION)).select("uid", "question_title").run()
+
+
+@query(f"{WITH} select uid, lang from words where len(list_filter(body, lambda w: starts_with(w, 'thea'))) > 0")
+def match_prefix(spark, sf_dir):
+    return Search(docs(spark, sf_dir)).where(prefix("question_body", "Thea")).select("uid", "lang").run()
+
+
+@query(f"{WITH} select uid from words where contains(' ' || array_to_string(body, ' ') || ' ', ' and the ')")
+def match_phrase(spark, sf_dir):
+    return Search(docs(spark, sf_dir)).where(phrase("question_body", "and the")).select("uid").run()
+
+
+@query(f"""{WITH}, s as (select uid, case when len(list_filter(title, lambda w: starts_with(w, 'then'))) > 0 then 3.0 else 0.0 end
+    + case when len(list_filter(body, lambda w: starts_with(w, 'ering'))) > 0 then 1.5 else 0.0 end as score from words)
+  select uid, score::double as score from s where score > 0""")
+def boosted_prefix_score(spark, sf_dir):
+    clauses = boosted(prefix("question_title", "then"), 3.0), boosted(prefix("question_body", "ering"), 1.5)
+    return Search(docs(spark, sf_dir)).query(*clauses).select("uid", "score").run()
+
+
+@query(f"""{WITH}, s as (select uid, question_view_count, case when list_contains(body, 'with') then 2.0 else 0.0 end as score from words)
+  select uid, (score * question_view_count)::double as score from s where score > 0""")
+def boost_by_numeric_field(spark, sf_dir):
+    clause = boosted(F.array_contains(X.tokens(F.col("question_body")), "with"), 2.0)
+    return Search(docs(spark, sf_dir)).query(clause).boost_by("question_view_count").select("uid", "score").run()
+
+
+@query(f"with {DOCS} select uid, question_view_count from docs where lang <> 'en' order by question_view_count desc, uid offset 20 limit 15")
+def sort_page(spark, sf_dir):
+    return Search(docs(spark, sf_dir)).where(F.col("lang") != "en").sort(F.desc("question_view_count"), F.asc("uid")).page(20, 15).select("uid", "question_view_count").run()
+
+
+@query("""select o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as sum_price, round(avg(o_totalprice), 4) as avg_price
+  from orders where o_totalprice >= 1000 group by o_orderpriority""")
+def facet_sum_avg(spark, sf_dir):
+    found = Search(table(spark, sf_dir, "orders")).where(from_("o_totalprice", 1000))
+    return found.facet("o_orderpriority", n=F.count(F.lit(1)), sum_price=F.round(F.sum("o_totalprice"), 2), avg_price=F.round(F.avg("o_totalprice"), 4))
+
+
+@query(f"""with {DOCS}, c as (select uid, translate(regexp_replace(question_body, 'https?://[^ \\t\\n\\r\\f]+', '', 'g'), '{X.PUNCTUATION.replace("'", "''")}', '') as clean from docs)
+  select uid, md5(clean) as clean_md5, length(clean) as length from c""")
+def clean_text_length(spark, sf_dir):
+    clean = docs(spark, sf_dir).select("uid", X.clean(F.col("question_body")).alias("clean"))
+    return clean.select("uid", F.md5("clean").alias("clean_md5"), F.length("clean").alias("length"))
+
+
+# Index and ranking.
+
+
+@query(f"{WITH}, {POSTINGS} select * from postings")
+def postings_plain(spark, sf_dir):
+    return rank.postings(docs(spark, sf_dir))
+
+
+@query()
+def postings_stemmed(spark, sf_dir):
+    return rank.postings(docs(spark, sf_dir), lambda text: stems(X.tokens(text)))
+
+
+@query(f"with {DOCS} select author_name, count(*) as n_docs from docs where author_name is not null group by author_name")
+def author_doc_counts(spark, sf_dir):
+    return docs(spark, sf_dir).where("author_name is not null").groupBy("author_name").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _tfidf_sql(df: str) -> str:
+    return f"""{WITH}, {POSTINGS}, {ASKED},
+  n as (select count(*)::double as total from docs),
+  d as (select zone, word, count(*) as df from asked group by zone, word),
+  z as (select asked.uid, asked.zone, 1.0 * count(*) / {len(TERMS)} * sum(freq * (1 + ln(n.total / ({df} + 1))) / sqrt(2.0 * length(question_body))) as s
+        from asked join d using (zone, word) join docs on docs.uid = asked.uid, n where length(question_body) > 0 group by asked.uid, asked.zone)
+  select uid, round(sum(s), 6) as score from z group by uid order by score desc, uid desc limit {TOP}"""
+
+
+@query(_tfidf_sql("1"))
+def tfidf_topk(spark, sf_dir):
+    return rank.top_k(rank.tfidf(docs(spark, sf_dir), QUESTION), TOP)
+
+
+@query(_tfidf_sql("d.df"))
+def tfidf_topk_df(spark, sf_dir):
+    return rank.top_k(rank.tfidf(docs(spark, sf_dir), QUESTION, document_frequency=True), TOP)
+
+
+BM25 = f"""sizes as (select uid, 'title' as zone, len(title) as size from words union all select uid, 'body', len(body) from words),
+  stats as (select zone, avg(size) as mean, count(*) as total from sizes group by zone),
+  bdf as (select zone, word, count(*) as df from asked group by zone, word),
+  bw as (select asked.uid, word, max(ln(1 + (total - df + 0.5) / (df + 0.5)) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * size / mean))) as s
+         from asked join bdf using (zone, word) join stats using (zone) join sizes on sizes.uid = asked.uid and sizes.zone = asked.zone group by asked.uid, word),
+  bm25 as (select uid, round(sum(s), 6) as score from bw group by uid)"""
+WORD_RANK = """wd as (select word, uid, count(*) as edges from asked group by word, uid),
+  wden as (select word, arg_max(edges, uid) as den from wd group by word),
+  wn as (select den, count(*) as n from wden group by den),
+  wshare as (select word, 1.0 / (n * den) as c from wden join wn using (den)),
+  weach as (select uid, word, c from asked join wshare using (word)),
+  wdoc as (select uid, sum(c) as s from weach group by uid),
+  wmax as (select max(s) as most from (select s from wdoc union all select sum(c) from weach group by word)),
+  wrank as (select uid, round(coalesce(case when most = 0 then null else s / most end, 0.0), 6) as score from wdoc, wmax)"""
+AUTHOR_RANK = """ac as (select author_name, count(*) as n_docs from docs where author_name is not null group by author_name),
+  an as (select n_docs, count(*) as n from ac group by n_docs),
+  ashare as (select author_name, 1.0 / n as c, n_docs from ac join an using (n_docs)),
+  adoc as (select uid, sum(c) as s from docs join ashare using (author_name) group by uid),
+  amax as (select max(s) as most from (select s from adoc union all select c * n_docs from ashare)),
+  arank as (select uid, round(coalesce(case when most = 0 then null else s / most end, 0.0), 6) as score from adoc, amax)"""
+COMBINED = "combined as (select wrank.uid, round(1.0 * coalesce(arank.score, 0.0) + 1.0 * wrank.score, 6) as score from wrank left join arank using (uid))"
+
+
+@query(f"{WITH}, {POSTINGS}, {ASKED}, {WORD_RANK} select * from wrank")
+def word_rank(spark, sf_dir):
+    return rank.word_rank(docs(spark, sf_dir), QUESTION)
+
+
+@query(f"with {DOCS}, {AUTHOR_RANK} select * from arank")
+def author_rank(spark, sf_dir):
+    return rank.author_rank(docs(spark, sf_dir))
+
+
+@query(f"{WITH}, {POSTINGS}, {ASKED}, {WORD_RANK}, {AUTHOR_RANK}, {COMBINED} select * from combined order by score desc, uid desc limit {TOP}")
+def combined_rank_topk(spark, sf_dir):
+    return rank.top_k(rank.combined_rank(docs(spark, sf_dir), QUESTION), TOP)
+
+
+@query(f"{WITH}, {POSTINGS}, {ASKED}, {BM25} select * from bm25 order by score desc, uid desc limit {TOP}")
+def bm25_topk(spark, sf_dir):
+    return rank.top_k(rank.bm25(docs(spark, sf_dir), QUESTION), TOP)
+
+
+@query(f"""{WITH}, {POSTINGS}, {ASKED}, {BM25}, boosted as (select bm25.uid, round(bm25.score * question_view_count, 6) as score from bm25 join docs using (uid))
+  select * from boosted order by score desc, uid desc limit {TOP}""")
+def keyword_rank_by_field(spark, sf_dir):
+    return rank.top_k(rank.keyword_rank(docs(spark, sf_dir), QUESTION, "question_view_count"), TOP)
+
+
+TFIDF = f"""n as (select count(*)::double as total from docs),
+  tz as (select asked.uid, asked.zone, 1.0 * count(*) / {len(TERMS)} * sum(freq * (1 + ln(n.total / 2)) / sqrt(2.0 * length(question_body))) as s
+         from asked join docs on docs.uid = asked.uid, n where length(question_body) > 0 group by asked.uid, asked.zone),
+  tfidf as (select uid, round(sum(s), 6) as score from tz group by uid)"""
+FAN = f"""{WITH}, {POSTINGS}, {ASKED}, {BM25}, {TFIDF}, {WORD_RANK}, {AUTHOR_RANK}, {COMBINED},
+  scores as (select 'bm25' as model, * from bm25 union all select 'tfidf', * from tfidf union all select 'graph', * from combined),
+  ranked as (select model, row_number() over (partition by model order by score desc, uid desc) - 1 as rank, uid, score from scores),
+  lists as (select * from ranked where rank < {TOP})"""
+
+
+@query(f"{FAN} select model, rank::int as rank, lists.uid, score, question_title from lists join docs using (uid)")
+def three_ranker_fanout(spark, sf_dir):
+    return rank.fan_out(docs(spark, sf_dir), QUESTION, TOP)
+
+
+@query("""with p as (select p_partkey, string_split(p_name, ' ') as words from part),
+  w as (select p_partkey, unnest(words) as word, generate_subscripts(words, 1) as pos from p),
+  t as (select lower(p_type) as name, min(p_partkey) as first_key from part group by lower(p_type))
+  select p_partkey, arg_min(name, pos) as product from w join t on lower(word) = name group by p_partkey""")
+def product_detect(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    words = part.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
+    names = part.select(F.lower("p_type").alias("name")).distinct()
+    found = words.join(names, F.lower("word") == F.col("name"))
+    return found.groupBy("p_partkey").agg(F.min_by("name", "pos").alias("product"))
+
+
+@query(f"""with {DOCS} select uid, (contains(lower(question_body), 'the') or contains(lower(question_body), 'éle')) as mentioned,
+  array_to_string(list_filter(string_split(question_title, ' '), lambda w: w not in ({X.duck_stopwords()})), '+') as raw_query from docs""")
+def product_mention_raw_query(spark, sf_dir):
+    return docs(spark, sf_dir).select("uid", X.mentions_any_word(F.col("question_body"), F.lit("The Éle")).alias("mentioned"), X.raw_query(F.col("question_title")).alias("raw_query"))
+
+
+# Pages.
+
+
+@query(f"select page_id, url from pages where regexp_matches(url, '{ALLOW}') and not regexp_matches(url, '{DENY}')")
+def url_guiding_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(U.allowed(F.col("url"), ALLOW, DENY)).select("page_id", "url")
+
+
+ROUTED = """routed as (select page_id, url, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), ''), '') as host,
+  case when contains(url, 'captcha') then 'captcha' when regexp_matches(url, 'page=') then 'index' when regexp_matches(url, '/[0-9]+$') then 'results' else 'other' end as class from pages)"""
+
+
+def _routed(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", "url", U.host(url).alias("host"), pages.route(url, url.rlike("/[0-9]+$"), url.rlike("page=")).alias("class"))
+
+
+@query(f"with {ROUTED} select page_id, class from routed")
+def page_router(spark, sf_dir):
+    return _routed(spark, sf_dir).select("page_id", "class")
+
+
+@query("""select page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') as host,
+  substr(regexp_replace(regexp_replace(url, '^https?://', ''), '[./]', '_', 'g'), 1, 100) as short_name from pages""")
+def page_hosts_short_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.short_file_name(F.col("url")).alias("short_name"))
+
+
+@query(r"""select page_id, array_to_string(regexp_extract_all(html, 'class="([^"\r\n]*)"', 1), ' ') as classes from pages""")
+def css_class_harvest(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.css_classes(F.col("html")).alias("classes"))
+
+
+LINKS = r"""l as (select page_id, url, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) as ls from pages),
+  links as (select page_id, url, (generate_subscripts(ls, 1) - 1)::int as pos, unnest(ls) as link from l)"""
+
+
+@query(f"with {LINKS} select page_id, pos, link from links")
+def link_extract(spark, sf_dir):
+    return pages.link_table(table(spark, sf_dir, "pages")).select("page_id", "pos", "link")
+
+
+_HOST = "coalesce(regexp_extract({}, '^[a-z]+://([^/?#:]+)', 1), '')"
+
+
+@query(f"""with {LINKS}, h as (select *, {_HOST.format("link")} as lh, {_HOST.format("url")} as ph from links)
+  select distinct page_id, link from h where link <> '' and (contains(lh, ph) or contains(ph, lh))
+  and not ({" or ".join(f"contains(link, '{b}')" for b in U.LINK_BLACKLIST)})""")
+def link_filter_same_domain(spark, sf_dir):
+    found = pages.link_table(table(spark, sf_dir, "pages"))
+    return found.where(U.wanted_link(F.col("link"), F.col("url"))).select("page_id", "link").distinct()
+
+
+@query(f"""with {LINKS} select page_id, count(*) filter (where regexp_matches(regexp_extract(link, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1), '({"|".join(U.QUESTION_WORDS)})[_-]')) as n_question_links,
+  count(*) as n_links from links group by page_id""")
+def question_links(spark, sf_dir):
+    found = pages.link_table(table(spark, sf_dir, "pages"))
+    return found.groupBy("page_id").agg(F.count_if(F.coalesce(U.question_link(F.col("link")), F.lit(False))).alias("n_question_links"), F.count(F.lit(1)).alias("n_links"))
+
+
+@query(f"""with {LINKS}, n as (select *, lead(link) over (partition by page_id order by pos) as next_link from links)
+  select page_id, pos, string_split(regexp_replace(link, '^/T', ''), '&sa')[1] as target from n
+  where contains(link, '/T') and not contains(link, 'webcache') and contains(next_link, '/a')""")
+def serp_lead_filter(spark, sf_dir):
+    links = pages.link_table(table(spark, sf_dir, "pages"))
+    return pages.serp_results(links, "/T", "/a").select("page_id", "pos", "target")
+
+
+@query()
+def visible_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", pages.visible_text_column(F.col("html")).alias("text"))
+
+
+@query()
+def index_page_classify(spark, sf_dir):
+    return pages.analyse(table(spark, sf_dir, "pages")).select("page_id", F.size("result_links").alias("n_result_links"), F.size("pagination_links").alias("n_pagination_links"))
+
+
+@query()
+def results_page_classify(spark, sf_dir):
+    return pages.analyse(table(spark, sf_dir, "pages")).select("page_id", "class", "reason", "is_pertinent", F.size("posts").alias("n_posts"))
+
+
+@query()
+def page_question_answers(spark, sf_dir):
+    source = table(spark, sf_dir, "pages")
+    return pages.question_answers(pages.analyse(source), source)
+
+
+@query()
+def date_find_strict(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", D.date_list(F.col("text")).alias("dates")).select("doc_id", F.size("dates").alias("n_dates"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as iso, date_trunc('minute', o_orderdate)::timestamp as superuser,
+  date_trunc('day', o_orderdate)::timestamp as macrumors from orders""")
+def site_date_formats(spark, sf_dir):
+    moment = F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", search.date_text(moment).alias("iso"), F.date_format(moment, "MMM d ''yy 'at' HH:mm").alias("a"), F.date_format(moment, "MMM dd, yyyy").alias("b")
+    )
+    return rows.select("o_orderkey", "iso", D.superuser_date(F.col("a")).cast("timestamp_ntz").alias("superuser"), D.macrumors_date(F.col("b")).cast("timestamp_ntz").alias("macrumors"))
+
+
+@query(f"""with {ROUTED} select host, count(*) filter (where class = 'results') as n_results, count(*) filter (where class = 'index') as n_index,
+  count(*) filter (where class = 'captcha') as n_captcha, count(*) filter (where class = 'other') as n_other,
+  count(*) filter (where class = 'results') > 0 and count(*) filter (where class = 'index') > 0 as is_valid from routed group by host""")
+def site_valid(spark, sf_dir):
+    return pages.valid_sites(_routed(spark, sf_dir))
+
+
+@query("""with t as (select count(*) as total, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as seconds from events)
+  select event_type as class, count(*) as n_pages, round(count(*) / any_value(total), 6) as ratio, round(count(*) / any_value(seconds), 6) as pages_per_second
+  from events, t group by event_type""")
+def crawl_stats(spark, sf_dir):
+    return pages.crawl_statistics(table(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.col("ts").cast("timestamp").alias("ts")))
+
+
+# Sets and duplicates.
+
+
+@query("select min(doc_id) as doc_id, md5(text) as text_md5, count(*) as copies from documents group by text")
+def dedup_keep_first(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", F.md5("text").alias("text_md5"), "copies")
+
+
+@query("""with u as (select distinct regexp_replace(url, '[?#].*$', '') as url from pages),
+  seen as (select distinct regexp_replace(url, '[?#].*$', '') as url from pages where page_id % 3 = 0) select url from u where url not in (select url from seen)""")
+def url_dedup(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    visited = found.where("page_id % 3 = 0").select("url")
+    return found.select("url").distinct().join(visited, "url", "left_anti")
+
+
+@query("""with recursive copies as (select text, doc_id as b, min(doc_id) over (partition by text) as a, lead(doc_id) over (partition by text order by doc_id) as c from documents),
+  e as (select b as x, c as y from copies where c is not null union select c, b from copies where c is not null),
+  r(uid, class_uid) as (select x, x from e union select e.y, r.class_uid from r join e on e.x = r.uid)
+  select uid, min(class_uid) as class_uid from r group by uid""")
+def duplicate_closure(spark, sf_dir):
+    order = Window.partitionBy("text").orderBy("doc_id")
+    links = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), F.lead("doc_id").over(order).alias("b")).where("b is not null")
+    return evaluate.duplicate_closure(links)
+
+
+# Training sets.
+
+_DRAWN = "cast(('0x' || substr(md5('{}:' || uid || ':' || pos), 1, 7)) as bigint) % (select count(*) from documents)"
+NUMBERED = "numbered as (select doc_id as uid, row_number() over (order by doc_id) - 1 as position from documents)"
+
+
+@query(f"""with {NUMBERED}, d as (select uid, unnest(range(1, 10)) as pos from numbered),
+  p as (select uid, pos, {_DRAWN.format(1)} as position from d) select p.uid, pos::int as pos, numbered.uid as distractor_uid from p join numbered using (position)""")
+def distractors_hash(spark, sf_dir):
+    return dataset.distractors(docs(spark, sf_dir))
+
+
+@query(f"with {NUMBERED} select uid, case when position < (select count(*) from documents) // 2 then 'test' else 'valid' end as part from numbered")
+def split_half(spark, sf_dir):
+    return dataset.split_half(docs(spark, sf_dir).select("uid"))
+
+
+@query(f"""with {NUMBERED}, d as (select uid, 1 as pos from numbered), p as (select uid, {_DRAWN.format(2)} as position from d)
+  select uid as context_uid, uid as utterance_uid, 1 as label from numbered
+  union all select p.uid, numbered.uid, 0 from p join numbered using (position) where p.uid <> numbered.uid""")
+def train_pairs_union(spark, sf_dir):
+    return dataset.train_pairs(docs(spark, sf_dir))
+
+
+VOCAB = f"""both_zones as (select unnest(list_concat(title, body)) as word from words),
+  vocab as (select (row_number() over (order by count(*) desc, encode(word)))::int as id, word, count(*) as n from both_zones group by word having count(*) >= 10)"""
+
+
+@query(f"{WITH}, {VOCAB} select * from vocab")
+def vocab_min_freq(spark, sf_dir):
+    return dataset.vocabulary(docs(spark, sf_dir))
+
+
+@query(f"""{WITH}, {VOCAB}, s as (select uid, body[1:160] as ws from words),
+  e as (select uid, unnest(ws) as word, generate_subscripts(ws, 1) as pos from s),
+  i as (select uid, list(coalesce(id, 0) order by pos) as ids from e left join vocab using (word) group by uid)
+  select s.uid, array_to_string(list_concat(coalesce(ids, []), list_transform(range(0, 160 - len(ws)), lambda x: 0)), ' ') as ids, len(ws)::int as n_words from s left join i using (uid)""")
+def sentence_ids_padded(spark, sf_dir):
+    own = docs(spark, sf_dir)
+    rows = dataset.sentence_ids(own, dataset.vocabulary(own))
+    return rows.select("uid", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "n_words")
+
+
+# Models and evaluation.
+
+SCORED = """q as (select vec_id as query_id, embedding as q, label from embeddings where vec_id % 25 = 0),
+  s as (select query_id, vec_id as uid, round(1 / (1 + exp(-list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::double * q[i]::double)))), 6) as score
+        from q join embeddings using (label) where vec_id <> query_id)"""
+
+
+def _scored(spark, sf_dir):
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return models.bilinear_scores(vec.where("id % 25 = 0"), vec, ["label"]).where("query_id <> uid")
+
+
+@query(f"""with {SCORED} select query_id, uid, score, (row_number() over (partition by query_id order by score desc, uid desc) - 1)::int as rank from s
+  qualify row_number() over (partition by query_id order by score desc, uid desc) <= {TOP}""")
+def bilinear_score_topk(spark, sf_dir):
+    return rank.ranked(_scored(spark, sf_dir), ["query_id"], TOP)
+
+
+@query(f"""with {SCORED}, r as (select query_id, uid, row_number() over (partition by query_id order by score desc, uid desc) - 1 as rank from s),
+  t as (select query_id, min(rank) as rank from r where uid % 5 = 0 group by query_id)
+  select round(avg(case when rank < 1 then 1.0 else 0.0 end), 6) as recall_at_1, round(avg(case when rank < 2 then 1.0 else 0.0 end), 6) as recall_at_2,
+    round(avg(case when rank < 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(case when rank < 10 then 1.0 else 0.0 end), 6) as recall_at_10 from t""")
+def recall_at_k(spark, sf_dir):
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("uid"))
+    ranks = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(order) - 1).where("uid % 5 = 0").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return evaluate.recall_at(ranks, 1, 2, 5, 10)
+
+
+@query()
+def linear_text_classifier(spark, sf_dir):
+    own = docs(spark, sf_dir).select("uid", F.coalesce("question_body", F.lit("")).alias("text"))
+    labelled = own.join(views.accepted(spark, sf_dir), "uid").withColumn("label", F.col("answer_accepted").cast("int"))
+    # The fit takes at most 20,000 labelled rows, first by hash.
+    model = models.fit_text_classifier(dataset.shuffled(labelled, 5).limit(20_000))
+    return models.classify(model, own).select("uid", "predicted")
+
+
+WANTED = "wanted as (select 'q' as query_uid, uid from (select doc_id as uid from documents where doc_id % 7 = 0))"
+PREDICTED = "predictions as (select model, 'q' as query_uid, rank, uid from lists)"
+
+
+def _evaluated(spark, sf_dir):
+    wanted = docs(spark, sf_dir).where("uid % 7 = 0").select(F.lit("q").alias("query_uid"), "uid")
+    lists = rank.fan_out(docs(spark, sf_dir), QUESTION, TOP).select("model", F.lit("q").alias("query_uid"), "rank", "uid")
+    return wanted, lists
+
+
+FIRST = """m as (select distinct model from predictions),
+  first_match as (select m.model, w.query_uid, w.uid, (case when p.rank is null then 7 when p.rank > 5 then 6 else p.rank end)::int as rank
+    from wanted w cross join m left join predictions p on p.model = m.model and p.query_uid = w.query_uid and p.uid = w.uid)"""
+
+
+@query(f"{FAN}, {WANTED}, {PREDICTED}, {FIRST} select * from first_match")
+def first_match_rank(spark, sf_dir):
+    return evaluate.first_match(*_evaluated(spark, sf_dir), 5)
+
+
+@query(f"""{FAN}, {WANTED}, {PREDICTED}, {FIRST}, best as (select model, query_uid, min(rank) as best_rank from first_match group by model, query_uid)
+  select model, count(*) as n_queries, count(*) filter (where best_rank > 5) as n_misses, round(avg(case when best_rank <= 5 then 0.0 else 1.0 end), 6) as miss_share,
+    round(coalesce(avg(case when best_rank <= 5 then best_rank end), -1.0), 6) as mean_rank, round(avg(case when best_rank <= 5 then best_rank * best_rank end), 6) as second_order
+  from best group by model""")
+def best_rank_stats(spark, sf_dir):
+    return evaluate.rank_statistics(evaluate.best_ranks(evaluate.first_match(*_evaluated(spark, sf_dir), 5)), 5)
+
+
+@query(f"""{FAN}, {WANTED}, {PREDICTED}, h as (select model, query_uid, count(*) as n_listed,
+    count(*) filter (where exists (select 1 from wanted w where w.query_uid = predictions.query_uid and w.uid = predictions.uid)) as n_hits
+    from predictions where rank < 9 group by model, query_uid), nw as (select query_uid, count(distinct uid) as n_wanted from wanted group by query_uid)
+  select model, query_uid, n_hits, round(n_hits / n_listed, 6) as precision, round(n_hits / n_wanted, 6) as recall from h join nw using (query_uid)""")
+def precision_recall_at_k(spark, sf_dir):
+    return evaluate.precision_recall(*_evaluated(spark, sf_dir), 9)
+
+
+@query("""with c as (select count(*) filter (where quality = 1 and toxic = 0) as tp, count(*) filter (where quality <> 1 and toxic = 0) as fp,
+    count(*) filter (where quality = 1 and toxic <> 0) as fn, count(*) filter (where quality <> 1 and toxic <> 0) as tn from labels)
+  select *, round(tp / (tp + fn), 6) as recall, round(tp / (tp + fp), 6) as precision, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from c""")
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@query("""with t as (select conv_id, count(*) as expected, count(*) filter (where length(text) > 150) as actual from conversations group by conv_id)
+  select count(*) as n_pages, round(avg(case when actual = expected then 1.0 else 0.0 end), 6) as exact_share, round(sum(actual) / sum(expected), 6) as posts_share from t""")
+def parse_completeness(spark, sf_dir):
+    threads = views.posts(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.length("body") > 150).alias("actual"))
+    return evaluate.parse_completeness(threads)
+
+
+@query(f"""{WITH}, {POSTINGS}, {ASKED}, {WORD_RANK}, {AUTHOR_RANK}, g as (select a::double as coeff_author, b::double as coeff_word from range(3) r(a), range(3) s(b)),
+  c as (select coalesce(arank.score, 0.0) as a, wrank.score as w from wrank left join arank using (uid) where wrank.uid % 7 = 0)
+  select coeff_author, coeff_word, round(sum(coeff_author * a + coeff_word * w), 6) as total from c, g group by coeff_author, coeff_word""")
+def coefficient_grid(spark, sf_dir):
+    own = docs(spark, sf_dir)
+    word, author = rank.word_rank(own, QUESTION).withColumnRenamed("score", "w"), rank.author_rank(own).withColumnRenamed("score", "a")
+    components = word.join(author, "uid", "left").where("uid % 7 = 0").select(F.coalesce("a", F.lit(0.0)).alias("a"), "w")
+    axis = spark.range(3).select(F.col("id").cast("double").alias("x"))
+    grid = axis.select(F.col("x").alias("coeff_author")).crossJoin(axis.select(F.col("x").alias("coeff_word")))
+    return evaluate.coefficient_grid(components, grid)
+
+
+@query(f"""with {DOCS} select question_title as context, question_body as utterance, uid from docs order by md5('3:' || uid), uid limit 25""".replace("md5('3:' || uid)", "cast(('0x' || substr(md5('3:' || uid), 1, 7)) as bigint)"))
+def shuffled_pairs_head(spark, sf_dir):
+    return dataset.shuffled(dataset.pairs(docs(spark, sf_dir))).limit(25)
