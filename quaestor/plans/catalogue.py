@@ -122,7 +122,7 @@ def facet_sum_avg(spark, sf_dir):
   select uid, md5(clean) as clean_md5, length(clean) as length from c""")
 def clean_text_length(spark, sf_dir):
     clean = docs(spark, sf_dir).select("uid", X.clean(F.col("question_body")).alias("clean"))
-    return clean.select("uid", F.md5("clean").alias("clean_md5"), F.length("clean").alias("length"))
+    return clean.select("uid", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("length"))
 
 
 # Index and ranking.
