@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import byte_view, spans_of
 
 #: Bytes of text whose distinct words are merged together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
+#: Bytes of text whose tokens are laid out at once.
+OUTPUT_BYTES = 1 << 20
 #: Distinct words whose tokens a Python worker keeps between batches.
 CACHE_WORDS = 400_000
 _NONE = np.int64(1 << 40)
@@ -169,24 +171,27 @@ class MergeReplay:
             pieces[w] = np.array(parts, np.int32)
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts in a row, and each text's first."""
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each text; words that are new to this encoder are merged, all at once."""
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.cached_ids, self.cached_at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         cache, old = self.cache, len(self.cache)
-        numbers, counts = [], []
-        for text in texts:
-            own = [cache.setdefault(w, len(cache)) for w in self.split.findall(text)]
-            counts.append(len(own))
-            numbers.append(np.array(own, np.int32))
+        numbers = [np.array([cache.setdefault(w, len(cache)) for w in self.split.findall(text)], np.int32) for text in texts]
         fresh = [w.encode() for w in list(cache)[old:]]
         if fresh:
             ids, firsts = self.replay(fresh)
             self.cached_at = np.concatenate([self.cached_at, self.cached_at[-1] + firsts[1:]])
             self.cached_ids = np.concatenate([self.cached_ids, ids])
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-        ids, at = gather(self.cached_ids, self.cached_at, number)
-        return ids, at[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return numbers
+
+    def tokens(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts given by their words' numbers, and each text's first."""
+        ids, at = gather(self.cached_ids, self.cached_at, np.concatenate([np.zeros(0, np.int32), *numbers]))
+        return ids, at[np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in a row, and each text's first."""
+        return self.tokens(self.words(texts))
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of a row of token ids, and each token's first."""
@@ -224,23 +229,23 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = Fa
         own = shared_codec(content, pattern)
         for batch in batches:
             data, offsets = byte_view(batch.column(batch.num_columns - 1))
-            n, first, second, lists = [], [], [], []
             for i, j in spans_of(offsets, BATCH_BYTES):
                 texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1])]
-                tokens, at = own.encode(texts)
-                wide = tokens.astype("<u4")
-                raw, places = own.decode(tokens)
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    n.append(b - a)
-                    first.append(hashlib.sha256(wide[a:b]).hexdigest())
-                    second.append(hashlib.sha256(raw[places[a] : places[b]]).hexdigest())
-                if ids:
-                    lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32())))
-            arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
-            arrays += [pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            if ids:
-                arrays.append(pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                numbers = own.words(texts)
+                del texts
+                # Ids and bytes are laid out for a few texts at a time.
+                for p, q in spans_of(offsets[i : j + 1], OUTPUT_BYTES):
+                    tokens, at = own.tokens(numbers[p:q])
+                    wide = tokens.astype("<u4")
+                    raw, places = own.decode(tokens)
+                    ends = list(zip(at[:-1].tolist(), at[1:].tolist()))
+                    arrays = [batch.column(k).slice(i + p, q - p) for k in range(batch.num_columns - 1)]
+                    arrays.append(pa.array(np.diff(at), pa.int64()))
+                    arrays.append(pa.array([hashlib.sha256(wide[a:b]).hexdigest() for a, b in ends], pa.string()))
+                    arrays.append(pa.array([hashlib.sha256(raw[places[a] : places[b]]).hexdigest() for a, b in ends], pa.string()))
+                    if ids:
+                        arrays.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32())))
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return frame.mapInArrow(run, schema)
 
