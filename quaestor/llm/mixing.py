@@ -176,7 +176,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, keep=tuple(columns), **options)
     text = F.col("keep_text")
     tokens = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("blocks", lambda x: F.slice(tokens, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))), "")
+    # The words are the argument of an outer transform, so that they are made once and not for each block.
+    chosen = F.transform(F.array(tokens), lambda t: F.flatten(F.transform("blocks", lambda x: F.slice(t, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))))
+    part = F.array_join(chosen[0], "")
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("epochs")), lambda _: text)
     copies = F.concat(
         F.when(F.col("epochs") > 0, whole).otherwise(F.array().cast("array<string>")),
