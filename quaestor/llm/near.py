@@ -346,6 +346,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     rows = docs.select("doc_id", text_key().alias("sha"))
     wide = rows.join(classes, "sha", "left").select("doc_id", F.coalesce("class_sha", "sha").alias("class_sha"))
     groups = wide.groupBy("class_sha").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Written, so that the join has an exchange of its own, whose hot classes AQE splits.
+    groups = written(groups, "class_sizes")
     return wide.join(groups, "class_sha").select("doc_id", "class_id", "class_size")
 
 
