@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Parts of links that never lead to content, and those of member pages.
 LINK_BLACKLIST = ("javascript:", "mailto", "/member/", "/members", "/user/", "/users/")
+#: Words that make a link a question, followed by '-', '_' or a space.
 QUESTION_WORDS = ("how", "when", "where", "what", "who", "problem", "issue", "help")
 
 

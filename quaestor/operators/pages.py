@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from quaestor.functions import urls as U
 from quaestor.functions.dates import contains_strict_date, find_dates
 
+# Text lengths of a post, links of a list, parts of URLs and of class names.
 MIN_TEXT, MAX_TEXT = 150, 5000
 BLOCK_LINKS, INDEX_LINKS = 8, 9
 URL_BLACKLIST = ("/blog/",)

@@ -64,7 +64,7 @@ def boosted(predicate: Column, boost: float) -> Column:
     return F.when(predicate, F.lit(float(boost))).otherwise(F.lit(0.0))
 
 
-def solr_date(value: dt.datetime) -> str:
+def iso_date(value: dt.datetime) -> str:
     """A moment as ISO text in UTC with a final Z."""
     value = value.astimezone(dt.UTC) if value.tzinfo else value
     return value.strftime("%Y-%m-%dT%H:%M:%SZ")

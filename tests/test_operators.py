@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import text as X
 from quaestor.functions.stem import stem, stems
 from quaestor.operators import dataset, evaluate, models, rank
-from quaestor.operators.search import Search, and_, boosted, from_, from_to, match, or_, phrase, prefix, solr_date, to_
+from quaestor.operators.search import Search, and_, boosted, from_, from_to, match, or_, phrase, prefix, iso_date, to_
 from quaestor.sources import readers, sinks, views
 from quaestor.streaming import ingest
 
@@ -112,7 +112,7 @@ def test_search_builder(docs):
     assert [r.uid for r in page.page.collect()] == [3] and page.num_found == 3 and s.filters == ()
     assert [r.score for r in scored.boost_by("question_view_count").run().collect()] == [40.0, 30.0, 20.0]
     assert {r.lang: r.n for r in s.facet("lang", n=F.count(F.lit(1))).collect()}["en"] == 3
-    assert solr_date(dt.datetime(2020, 1, 2, 3, 4, 5, tzinfo=dt.timezone(dt.timedelta(hours=1)))) == "2020-01-02T02:04:05Z"
+    assert iso_date(dt.datetime(2020, 1, 2, 3, 4, 5, tzinfo=dt.timezone(dt.timedelta(hours=1)))) == "2020-01-02T02:04:05Z"
 
 
 @pytest.mark.parametrize("pair", "consign consign|consigned consign|consistency consist|knack knack|knackeries knackeri|knightly knight|caresses caress|ponies poni|cats cat|hopping hop|hoping hope|relational relat|generously generous|skies sky|dying die|happily happili|agreed agre|news news|communication communic|by by".split("|"))
