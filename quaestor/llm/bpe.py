@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import byte_view, spans_of
 
 #: Bytes of text whose distinct words are merged together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text whose tokens are laid out at once.
 OUTPUT_BYTES = 1 << 20
 #: Distinct words whose tokens a Python worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NONE = np.int64(1 << 40)
 
 
