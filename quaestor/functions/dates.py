@@ -38,6 +38,9 @@ _KINDS = {
     "filler": "|".join(_FILLERS),
 }
 _TOKEN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()), re.IGNORECASE)
+#: A run of three or more tokens, each matched once and for all.
+_RUN = re.compile("(?>" + "|".join(_KINDS.values()) + "){3,}", re.IGNORECASE)
+_DIGIT = re.compile(r"\d")
 _NOISE = re.compile(r"\b(?:standard|daylight|savings|time|date|by|due|on|to)\b", re.IGNORECASE)
 _ENDS = " \n\t:-.,_"
 
@@ -62,21 +65,14 @@ class Candidate:
 
 
 def candidates(text: str) -> Iterator[Candidate]:
-    """Runs of three or more date tokens."""
-    run: list[re.Match] = []
-
-    def closed() -> Iterator[Candidate]:
-        if len(run) >= 3:
-            kinds = [m.lastgroup for m in run]
-            a, b = run[0].start(), run[-1].end()
-            yield Candidate(text[a:b], a, b, [m.group() for m in run if m.lastgroup == "digits"], kinds.count("month"), kinds.count("delimiter"))
-
-    for m in _TOKEN.finditer(text):
-        if run and m.start() != run[-1].end():
-            yield from closed()
-            run = []
-        run.append(m)
-    yield from closed()
+    """Runs of three or more date tokens that hold a digit; others name no full date."""
+    if not _DIGIT.search(text):
+        return
+    for run in _RUN.finditer(text):
+        if _DIGIT.search(run.group()):
+            tokens = list(_TOKEN.finditer(run.group()))
+            kinds = [m.lastgroup for m in tokens]
+            yield Candidate(run.group(), run.start(), run.end(), [m.group() for m in tokens if m.lastgroup == "digits"], kinds.count("month"), kinds.count("delimiter"))
 
 
 def contains_strict_date(text: str) -> bool:
