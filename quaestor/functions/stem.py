@@ -45,7 +45,7 @@ def _short_end(w: str) -> bool:
     return len(w) > 2 and w[-1] not in _V + "wxY" and w[-2] in _V and w[-3] not in _V
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=500_000)
 def stem(word: str) -> str:
     """Porter2 stem of a lower-case word."""
     if len(word) < 3:
@@ -110,12 +110,14 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StringType())
+def _stem(words: pd.Series) -> pd.Series:
     stop = set(STOPWORDS)
-    return words.map(lambda ws: None if ws is None else [w if w in stop else stem(w) for w in ws])
+    codes, distinct = pd.factorize(words)
+    found = pd.Series([w if w in stop else stem(w) for w in distinct], dtype=object)
+    return found.reindex(codes).where(codes >= 0, None).reset_index(drop=True)
 
 
-def stems(words: Column) -> Column:
-    """Stems of a list of words; stop words stay as they are."""
-    return _stems(words)
+def stem_of(word: Column) -> Column:
+    """Stem of a lower-case word; stop words stay as they are. Each distinct word of a batch is stemmed once."""
+    return _stem(word)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.functions.stem import stem_of
 from quaestor.functions.text import indexable, query_terms, tokens
 
 ZONES = ("title", "body")
@@ -21,6 +22,12 @@ def postings(docs: DataFrame, words=tokens) -> DataFrame:
     return each.where(indexable(F.col("word"))).groupBy("uid", "zone", "word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def stemmed_postings(docs: DataFrame) -> DataFrame:
+    """Postings by stem: words are chosen and counted as they stand, then those of a stem are added up."""
+    stems = postings(docs).withColumn("word", stem_of(F.col("word")))
+    return stems.groupBy("uid", "zone", "word").agg(F.sum("freq").alias("freq"))
+
+
 def query_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Postings of the query's words only: texts are searched for them before anything is counted."""
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quaestor.functions import dates as D
 from quaestor.functions import text as X
 from quaestor.functions import urls as U
-from quaestor.functions.stem import stems
 from quaestor.operators import dataset, evaluate, models, pages, rank, search
 from quaestor.operators.search import Search, and_, boosted, from_, from_to, match, or_, phrase, prefix, to_
 from quaestor.sources import views
@@ -135,7 +134,7 @@ def postings_plain(spark, sf_dir):
 
 @query()
 def postings_stemmed(spark, sf_dir):
-    return rank.postings(docs(spark, sf_dir), lambda text: stems(X.tokens(text)))
+    return rank.stemmed_postings(docs(spark, sf_dir))
 
 
 @query(f"with {DOCS} select author_name, count(*) as n_docs from docs where author_name is not null group by author_name")
