@@ -118,3 +118,35 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.greatest(F.coalesce(F.try_element_at(sure, F.col("hits.best")), F.lit(0.0)), F.when(F.size(everywhere) > 0, F.lit(CONFIDENCE[4])).otherwise(F.lit(0.0))).alias("score"),
         F.coalesce(F.col("hits.n"), F.lit(0).cast("long")).alias("n_detections"),
     )
+
+
+def license_sql() -> str:
+    """DuckDB SQL for license_scan(). The patterns are the same, without the look-ahead at their end, which greedy digits make idle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({o}, {quoted(a)}, {r}, {quoted(k)}, {quoted(p.removesuffix('(?= |$)'))})" for o, a, r, k, p in rules())
+    places = []
+    for phrase, _ in BASE:
+        words = phrase.split(" ")
+        fits = " and ".join(f"words[i + {k}] = {quoted(w)}" for k, w in enumerate(words, 1))
+        places.append(f"[i for i in range(0, len(words) - {len(words) - 1}) if {fits}]")
+    named = ", ".join(f"case when len(p{k}) > 0 then {quoted(a)} end" for k, (_, a) in enumerate(BASE))
+    sure = " ".join(f"when {r} then {c}" for r, c in CONFIDENCE.items())
+    return rf"""
+    with t as (select row_number() over () as rid, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{upper}', '{lower}'), '{_SEPARATORS}', ' ', 'g')) as plain from documents),
+    w as (select rid, doc_id, case when plain = '' then [] else string_split(plain, ' ') end as words from t),
+    n as (select *, array_to_string(list_transform(words, lambda x, i: ' ' || x || ':' || (i - 1)), '') as numbered,
+          {", ".join(f"{p} as p{k}" for k, p in enumerate(places))} from w),
+    rules(o, label, rank, kw, pattern) as (values {values}),
+    hits as (select distinct rid, o from (select rid, unnest(words) as x from w) join rules on kw = x),
+    found as (select rid, o, label, rank, unnest(regexp_extract_all(numbered, pattern)) as m from hits join rules using (o) join n using (rid)),
+    dets as (select rid, o, label, rank, cast(regexp_extract(m, '^ [^ :]+:(\d+)', 1) as bigint) as first, cast(regexp_extract(m, ':(\d+)$', 1) as bigint) as last from found),
+    kept as (select * from dets a where not exists (select 1 from dets b where b.rid = a.rid and b.first <= a.first and b.last >= a.last and b.rank <= a.rank
+             and (b.first < a.first or b.last > a.last or b.rank < a.rank or (b.rank = a.rank and b.o < a.o)))),
+    sums as (select rid, list(distinct label) as labels, min(rank) as best, count(*) as n_detections from kept group by rid),
+    b as (select n.*, list_concat({", ".join(f"p{k}" for k in range(len(BASE)))}) as places, [x for x in [{named}] if x is not null] as base from n)
+    select doc_id, cast(len(words) as bigint) as n_words, cast(len(places) as bigint) as n_base, list_min(places) as first_word, list_max(places) as last_word,
+      array_to_string(list_sort(base), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') as labels,
+      cast(greatest(coalesce(case best {sure} end, 0.0), case when len(places) > 0 then {CONFIDENCE[4]} else 0.0 end) as double) as score, coalesce(n_detections, 0) as n_detections
+    from b left join sums using (rid)
+    """

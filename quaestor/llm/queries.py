@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from quaestor.llm.bpe import encode_documents
 from quaestor.llm.exact import EXACT_SQL, exact_groups
 from quaestor.llm.hamming import TOP_K_SQL, exact_top_k, sign_code
-from quaestor.llm.licenses import license_scan
+from quaestor.llm.licenses import license_scan, license_sql
 from quaestor.llm.lines import dedup_lines, dedup_lines_sql
 from quaestor.llm.mixing import mix, mix_sql
 from quaestor.llm.near import near_duplicates
-from quaestor.llm.suffix import dedup_substrings
+from quaestor.llm.suffix import SUBSTRING_SQL, dedup_substrings
 from quaestor.llm.toxicity import THRESHOLD, held_out, score_documents, train
 
 from quaestor.llm.urls import filter_urls
@@ -102,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_hamming_top_k": TOP_K_SQL,
     "op3_line_dedup": dedup_lines_sql(),
+    "op4_license_scan": license_sql(),
     "op5_mix_sources": mix_sql(),
+    "op6_suffix_dedup": SUBSTRING_SQL,
     "op9_exact_dedup": EXACT_SQL,
 }

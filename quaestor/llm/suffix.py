@@ -438,3 +438,22 @@ def dedup_substrings(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
+
+
+#: DuckDB SQL for dedup_substrings(): all windows of all texts, counted.
+SUBSTRING_SQL = """
+    with d as (select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as raw from documents),
+    w as (select rid, i, md5(raw[i + 1:i + 200]) as h from (select rid, raw, unnest(range(0, octet_length(raw) - 199)) as i from d)),
+    twice as (select h from w group by h having count(*) > 1),
+    hit as (select rid, i from w semi join twice using (h)),
+    step as (select *, case when i <= lag(i) over (partition by rid order by i) + 200 then 0 else 1 end as new from hit),
+    run as (select *, sum(new) over (partition by rid order by i) as k from step),
+    span as (select rid, k, min(i) as s, max(i) + 200 as e from run group by rid, k),
+    gap as (select rid, s, e, coalesce(lag(e) over (partition by rid order by s), 0) as before, lead(s) over (partition by rid order by s) as after from span),
+    part as (select rid, s, before as a, s as b, e - s as gone, 1 as n from gap
+             union all select rid, e, e, octet_length(raw), 0, 0 from gap join d using (rid) where after is null),
+    kept as (select rid, sum(gone) as n_removed, sum(n) as n_spans, string_agg(hex(raw[a + 1:b]), '' order by part.s, n) as rest from part join d using (rid) group by rid)
+    select doc_id, cast(octet_length(raw) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+           sha256(case when rest is null then raw else unhex(rest) end) as kept_sha256
+    from d left join kept using (rid)
+"""
