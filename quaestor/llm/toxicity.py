@@ -104,36 +104,40 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
         level = -7.0 if not len(y) or y.max() == 0 else 2.0
         return NoisyOr(np.zeros(size, np.float32), level)
     in_docs = np.zeros(size, np.int64)
-    columns, rows, docs, n_sentences = [], [], [], 0
+    # One part for each block of texts: feature slots, their sentences, the sentences' documents.
+    parts, n_sentences = [], 0
     for i, j in spans_of(offsets, CHUNK):
         slots, first, _, _, at = instances(data, offsets[i : j + 1])
         own = np.searchsorted(at, np.arange(len(first)), "right") - 1
-        sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slots))))
+        sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(slots))))
         in_docs += np.bincount(np.unique(own[sentence][:, None] * size + slots) % size, minlength=size)
-        columns.append(slots.ravel().astype(np.int32))
-        rows.append(np.repeat((sentence + n_sentences).astype(np.int32), slots.shape[1]))
-        docs.append(own + i)
+        parts.append((slots.ravel().astype(np.int32), np.repeat(sentence, slots.shape[1]), own + i, n_sentences))
         n_sentences += len(first)
-    column, row, doc_of_sentence = np.concatenate(columns), np.concatenate(rows), np.concatenate(docs)
     # Features too rare for a weight leave the instances; what remains is indexed densely.
     in_docs[0] = 0
     known = np.flatnonzero(in_docs >= MIN_DOCS)
     dense = np.full(size, -1, np.int32)
     dense[known] = np.arange(len(known))
-    column = dense[column]
-    row, column = row[column >= 0], column[column >= 0]
+    for k, (column, row, docs, base) in enumerate(parts):
+        column = dense[column]
+        parts[k] = (column[column >= 0], row[column >= 0], docs, base)
+    doc_of_sentence = np.concatenate([docs for _, _, docs, _ in parts])
     n_docs = len(y)
     part = y.mean()
     share = part if share is None else min(max(share, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, share / part, (1 - share) / (1 - part)) / n_docs
     w = np.zeros(len(known))
     state = [np.zeros(len(known) + 1), np.zeros(len(known) + 1)]
+    z = np.empty(n_sentences)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(row, w[column], n_sentences)
+        for column, row, docs, base in parts:
+            z[base : base + len(docs)] = bias + np.bincount(row, w[column], len(docs))
         risk = np.bincount(doc_of_sentence, np.logaddexp(0, z), n_docs)
         slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(risk, 50)), 1e-9), 1.0) * weight
         dz = slope[doc_of_sentence] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, dz[row], len(known)) + ridge * np.sign(w), dz.sum())
+        grad = np.append(ridge * np.sign(w), dz.sum())
+        for column, row, docs, base in parts:
+            grad[:-1] += np.bincount(column, dz[base : base + len(docs)][row], len(known))
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad * grad
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
