@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import byte_view, spans_of
+from quaestor.llm.common import byte_view, spans_of, trimmed
 
 #: Bytes of text whose distinct words are merged together.
 BATCH_BYTES = 8 << 20
 #: Bytes of text whose tokens are laid out at once.
 OUTPUT_BYTES = 1 << 20
 #: Distinct words whose tokens a Python worker keeps between batches.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _NONE = np.int64(1 << 40)
 
 
@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = Fa
                         arrays.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32())))
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(trimmed(run), schema)
 
 
 _CODECS: dict[tuple[str, str], MergeReplay] = {}

@@ -6,10 +6,12 @@ Arrow string columns, so that Python operators work on bytes without making obje
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run):
+    """Wraps an Arrow function of a stage: when a task ends, its worker gives freed memory back to the system.
+
+    Workers outlive their tasks, and the executor shares its memory with them.
+    """
+
+    @functools.wraps(run)
+    def wrapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapper
+
+
 #: Bytes of a table (as JSON) up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
 

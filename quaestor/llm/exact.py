@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import BASE, U64, WRAP, byte_view, mixed, range_hashes, spans_of, text_key, written
+from quaestor.llm.common import BASE, U64, WRAP, byte_view, mixed, range_hashes, spans_of, text_key, trimmed, written
 
 #: Bytes of the rolling window.
 WINDOW = 32
@@ -91,12 +91,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, sha (binary SHA-256 of the text), recipe (chunk hashes in order) of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_recipes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sha binary, recipe array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_recipes), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sha binary, recipe array<bigint>")
 
 
 def contents_of(texts: DataFrame) -> DataFrame:
     """id and content of the chunks of texts, some more than once."""
-    return texts.mapInArrow(_chunks, "id bigint, content binary")
+    return texts.mapInArrow(trimmed(_chunks), "id bigint, content binary")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import U64, byte_view, mixed, spans_of, text_key, words_of, written
+from quaestor.llm.common import U64, byte_view, mixed, spans_of, text_key, trimmed, words_of, written
 from quaestor.llm.components import connected_components
 
 #: Words of a shingle, and the similarity from which texts are near duplicates.
@@ -281,7 +281,7 @@ def _meet(threshold: float):
 
 def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Distinct texts in candidate buckets (uid, sha), and the components of verified pairs (node, root)."""
-    sketched = docs.select("text").mapInArrow(_sketch_rows, "sha binary, sketch array<bigint>")
+    sketched = docs.select("text").mapInArrow(trimmed(_sketch_rows), "sha binary, sketch array<bigint>")
     sketched = sketched.groupBy("sha").agg(F.first("sketch").alias("sketch"))
     sketched = written(sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
     entries = sketched.select("uid", F.explode(F.array_distinct("sketch")).alias("v"))
@@ -289,7 +289,7 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFram
     buckets = written(entries.join(shared, "v"), "buckets")
     central = buckets.groupBy("uid").agg(F.sum("n").alias("central"))
     live = written(sketched.select("uid", "sha").join(central, "uid"), "candidates")
-    words = docs.select("text").mapInArrow(_word_rows, "sha binary, words binary")
+    words = docs.select("text").mapInArrow(trimmed(_word_rows), "sha binary, words binary")
     words = words.join(live.select("sha", "uid").hint("shuffle_hash"), "sha").groupBy("uid").agg(F.max("words").alias("words"))
     words = written(words, "candidate_words")
     ranked = buckets.select("v", "uid").join(live.select("uid", "central"), "uid")
@@ -302,7 +302,7 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFram
     pairs = best.select((-F.col("top.minus")).alias("a"), F.col("uid").alias("b")).where("a <> b")
     sides = pairs.join(words.select(F.col("uid").alias("a"), F.col("words").alias("x")), "a")
     sides = sides.join(words.select(F.col("uid").alias("b"), F.col("words").alias("y")), "b")
-    links = written(sides.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a bigint, b bigint"), "verified")
+    links = written(sides.select("a", "b", "x", "y").mapInArrow(trimmed(_verified(threshold)), "a bigint, b bigint"), "verified")
     roots = connected_components(links)
 
     # Then a leader's texts outside its class with all its texts.

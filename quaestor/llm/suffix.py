@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import U64, bucketed, byte_view, spans_of, text_key, written
+from quaestor.llm.common import U64, bucketed, byte_view, spans_of, text_key, trimmed, written
 from quaestor.llm.exact import window_hashes
 
 #: Length of a repeated string, in bytes.
@@ -395,9 +395,9 @@ def repeated_ranges(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(8, -(-total // BUCKET_BYTES)), 100_000))
-    once = docs.select("text").mapInArrow(_once, "sha binary, text string, copies bigint")
+    once = docs.select("text").mapInArrow(trimmed(_once), "sha binary, text string, copies bigint")
     texts = bucketed(once.repartition(buckets, "sha").groupBy("sha").agg(F.max("text").alias("text"), F.sum("copies").alias("copies")), "texts", buckets, "sha")
-    anchors = texts.select("sha", "text").mapInArrow(_anchor_rows, "sha binary, h array<bigint>, start array<int>, windows array<int>, anchors array<int>")
+    anchors = texts.select("sha", "text").mapInArrow(trimmed(_anchor_rows), "sha binary, h array<bigint>, start array<int>, windows array<int>, anchors array<int>")
     anchors = written(anchors.where(F.size("h") > 0).withColumn("uid", F.monotonically_increasing_id()), "anchors")
     counted = anchors.select(F.inline(F.arrays_zip("h", "anchors"))).groupBy("h").agg(F.sum("anchors").alias("places"), F.count(F.lit(1)).alias("n"))
     live = counted.where("places > 1").select("h", "n")
@@ -405,12 +405,12 @@ def repeated_ranges(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame
     listed = places.join(live, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "start", "windows", "n")).alias("live"))
     listed = written(anchors.select("uid", "sha").join(listed, "uid"), "live_contexts")
     volume = listed.agg(F.sum(F.aggregate("live", F.lit(0).cast("long"), lambda acc, x: acc + x["windows"] + LENGTH))).first()[0] or 0
-    contexts = texts.select("sha", "text").join(listed, "sha").select("text", "uid", "live").mapInArrow(_context_rows, "h bigint, uid bigint, start int, n bigint, context binary")
+    contexts = texts.select("sha", "text").join(listed, "sha").select("text", "uid", "live").mapInArrow(trimmed(_context_rows), "h bigint, uid bigint, start int, n bigint, context binary")
     slices = F.ceil(F.col("n") / slice_size)
     contexts = contexts.withColumn("slice", F.when(F.col("n") <= slice_size, F.lit(0)).otherwise(F.pmod(F.xxhash64("uid", "start"), slices)).cast("int"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (8 << 20))
     dealt = contexts.repartition(shards, "h", "slice").sortWithinPartitions("h", "slice")
-    found = written(dealt.select("h", "n", "slice", "uid", "start", "context").mapInPandas(_shard_rows(slice_size), _FOUND), "found")
+    found = written(dealt.select("h", "n", "slice", "uid", "start", "context").mapInPandas(trimmed(_shard_rows(slice_size)), _FOUND), "found")
     across = found.where(F.col("digests").isNotNull()).groupBy("h", "part").applyInPandas(_merge, "uid bigint, first int, last int")
     ranges = found.where(F.col("digests").isNull()).select("uid", "first", "last").unionByName(across)
     by_text = ranges.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
@@ -425,7 +425,7 @@ def dedup_substrings(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
     are copies of each other; a null doc_id stays null; an empty table gives an empty result.
     """
     texts, ranges = repeated_ranges(docs, slice_size)
-    single = texts.where(F.col("copies") == 1).select("sha", "text").join(ranges, "sha").mapInArrow(_removed_rows, "sha binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    single = texts.where(F.col("copies") == 1).select("sha", "text").join(ranges, "sha").mapInArrow(trimmed(_removed_rows), "sha binary, n_removed bigint, n_spans bigint, kept_sha256 string")
     size = F.octet_length("text").cast("long")
     copied = texts.where((F.col("copies") > 1) & (size >= LENGTH)).select("sha", size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(_EMPTY_SHA).alias("kept_sha256"))
     done = single.unionByName(copied).withColumnRenamed("sha", "key")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import byte_view, range_hashes, range_sums, spans_of, words_of
+from quaestor.llm.common import byte_view, range_hashes, range_sums, spans_of, trimmed, words_of
 
 #: Weights are indexed by the low bits of a word's hash.
 BITS = 18
@@ -215,7 +215,7 @@ def score_documents(docs: DataFrame, model: NoisyOr, spans: bool = False, keep:
                 names.append("offending")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(trimmed(run), schema)
 
 
 def clean_documents(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,4 +230,4 @@ def clean_documents(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOL
             scores = [scorer.score(data, offsets[i : j + 1])[0] for i, j in spans_of(offsets, CHUNK)]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold if scores else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
