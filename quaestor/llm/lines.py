@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import measured
+from quaestor.llm.common import measured, text_key, written
 
 #: Parameters of the registered query and the pipeline.
 MAX_RATIO = 0.05
@@ -40,8 +40,13 @@ def with_site(df: DataFrame, by_site: DataFrame, how: str = "left") -> DataFrame
     return df.join(right, F.col("site").eqNullSafe(F.col("_site")), how).drop("_site")
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Boilerplate lines of each site. pages: site, text. Returns site, boiler (array of lines)."""
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """Boilerplate lines of each site. pages: site, text. Returns site, boiler (array of lines).
+
+    With copies_once equal texts of a site count as one page, both for a line and for the site.
+    """
+    if copies_once:
+        pages = pages.select("site", "text").distinct()
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
     totals = measured(totals, "site_pages")
 
@@ -58,17 +63,30 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     return measured(found, "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, site_column: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _one_whole(wide: DataFrame) -> DataFrame:
+    """One row of each text of a site that would lose all its lines keeps them; the others stay emptied."""
+    wide = wide.withColumn("emptied", (F.size(_own_lines(F.col("row.text"))) > 0) & (F.size(F.filter("kept", lambda x: _trimmed(x) != "")) == 0))
+    # Written, so that the numbers of the rows stay.
+    emptied = written(wide.where("emptied").withColumn("at", F.monotonically_increasing_id()), "emptied")
+    first = measured(emptied.groupBy("site", text_key("row.text")).agg(F.min("at").alias("whole")).select("whole"), "whole_rows")
+    emptied = emptied.join(first, F.col("at") == F.col("whole"), "left")
+    emptied = emptied.withColumn("kept", F.when(F.col("whole").isNotNull(), F.col("lines")).otherwise(F.col("kept")))
+    return wide.where(~F.col("emptied")).unionByName(emptied.select(*wide.columns))
+
+
+def dedup_lines(docs: DataFrame, site_column: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """Removes each site's boilerplate lines.
 
     Returns the input's columns and rows, with the lines gone from text; the other lines stay as
     they are, in order. Columns _n_lines and _n_dropped are added, in
     place of any of these names. A null text stays null (no
     lines), an empty text has one blank line; blank lines are neither counted nor dropped. A null
-    site is a site. Each row counts as a page, repeated rows too.
+    site is a site. Each row counts as a page, repeated rows too, so enough copies of a document make
+    its own lines boilerplate. With copies_once equal texts of a site count as one page, and of each
+    text that would lose all its lines one row stays whole.
     """
     pages = docs.select(F.col(site_column).alias("site"), "text")
-    boiler = boilerplate(pages, max_ratio, min_pages)
+    boiler = boilerplate(pages, max_ratio, min_pages, copies_once)
     columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
     wide = docs.select(F.struct(*columns).alias("row"), F.col(site_column).alias("site"))
     wide = with_site(wide, boiler)
@@ -76,6 +94,8 @@ def dedup_lines(docs: DataFrame, site_column: str = "source", max_ratio: float =
     wide = wide.withColumn("lines", lines)
     kept = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boiler"), _trimmed(x))))
     wide = wide.withColumn("kept", kept)
+    if copies_once:
+        wide = _one_whole(wide)
     text = F.when(F.col("row.text").isNull() | (F.size("kept") == F.size("lines")), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     return wide.select(
         *[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in columns],
