@@ -213,7 +213,8 @@ blueoak | 4 | oak | blue oak model licen[sc]e(?: 1 0 0)?
 json | 2 | evil | the software shall be used for good not evil
 beerware | 4 | beerware | (?:the )?beerware licen[sc]e
 proprietary | 2 | proprietary | (?:proprietary and confidential|confidential and proprietary)
-proprietary | 2 | eula | (?:end user licen[sc]e agreement|eula)
+proprietary | 2 | eula | eula
+proprietary | 2 | agreement | end user licen[sc]e agreement
 proprietary | 2 | unauthorized | unauthorized (?:copying|reproduction|use|distribution) (?:of this file |of this software )?(?:via any medium )?is (?:strictly )?prohibited
 proprietary | 4 | reserved | all rights reserved
 commercial | 4 | commercial | commercial licen[sc]e

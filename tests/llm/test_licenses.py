@@ -1,5 +1,6 @@
 import re
 
+from quaestor.llm import license_rules
 from quaestor.llm.license_rules import rules
 from quaestor.llm.licenses import BASE, license_scan
 
@@ -77,5 +78,48 @@ def test_rules_compile_and_hold_their_keyword():
         assert keyword in pattern and 1 <= rank <= 5
 
 
+def alternatives(pattern):
+    """Patterns without top-level alternatives: a pattern's groups of alternatives are written out, one at a time."""
+    depth, start, cuts = 0, None, []
+    for i, c in enumerate(pattern):
+        if c == "(":
+            start, cuts = (i, [i + 2]) if depth == 0 else (start, cuts)
+            depth += 1
+        elif c == "|" and depth == 1:
+            cuts.append(i)
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                after = pattern[i + 1 :]
+                optional = after.startswith("?")
+                parts = [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i])]
+                for part in [*parts, ""] if optional else parts:
+                    yield from alternatives(pattern[:start] + part + after[optional:])
+                return
+    yield pattern
+
+
+def test_each_alternative_holds_its_keyword():
+    # A text of "zero clause bsd" is found by the rule after the one of 0bsd.
+    covered = {("0bsd", "zero clause bsd")}
+    bad = set()
+    for line in license_rules._HAND.strip().splitlines():
+        label, _, keyword, pattern = (x.strip() for x in line.split("|", 3))
+        for one in alternatives(pattern):
+            # A gap of any words, and optional letters, which are no part of what each match holds.
+            words = re.sub(r"\[[^\]]*\]", "?", re.sub(r"\.\{0,\d+\}\??", " ", one))
+            if keyword not in re.findall(r"[^ ]+", words):
+                bad.add((label, one))
+    assert bad == covered
+
+
+def test_end_user_agreement_without_its_short_name(spark):
+    texts = ["Read the End User License Agreement first.", "end-user licence agreement", "the EULA", "end user agreement"]
+    rows = [(i, t, "en", "x", 7) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].labels for i in range(4)] == ["proprietary", "proprietary", "proprietary", ""]
+    assert [got[i].n_detections for i in range(4)] == [1, 1, 1, 0]
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
