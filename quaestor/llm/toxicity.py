@@ -27,7 +27,7 @@ PREFIXES = (4, 5, 6, 7)
 #: A sentence of more words is cut into pieces of so many.
 MAX_SENTENCE = 40
 #: Labelled documents of each label that the fit takes at most.
-MAX_DOCS = 2_000
+MAX_DOCS = 3_000
 #: Words in fewer of the sampled documents get no weight.
 MIN_DOCS = 4
 THRESHOLD = 0.3

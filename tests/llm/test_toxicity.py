@@ -96,3 +96,13 @@ def test_training_leaves_held_out_rows(spark):
     test = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert [int(s >= 0.3) for s in model.score(*view([r[1] for r in test]))[0]] == [r[2] for r in test]
     assert T.train(docs, labels.limit(0)).score(*view(["x"]))[0][0] < 0.01
+
+
+def test_fit_takes_three_thousand_of_each_label(spark, monkeypatch):
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2][:6400]
+    docs = spark.createDataFrame([(i, "a word") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(T, "fit", lambda texts, labels, share: taken.append((labels.count(0), labels.count(1))))
+    T.train(docs, labels)
+    assert taken == [(3000, 3000)]
