@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Labelled rows that linear_text_classifier fits to at most.
+MAX_ROWS = 20_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in doubles."""

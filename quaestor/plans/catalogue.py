@@ -459,11 +459,11 @@ def recall_at_k(spark, sf_dir):
 
 
 @query()
-def linear_text_classifier(spark, sf_dir):
+def linear_text_classifier(spark, sf_dir, max_rows=models.MAX_ROWS):
     own = docs(spark, sf_dir).select("uid", F.coalesce("question_body", F.lit("")).alias("text"))
     labelled = own.join(views.accepted(spark, sf_dir), "uid").withColumn("label", F.col("answer_accepted").cast("int"))
-    # The fit takes at most 20,000 labelled rows, first by hash.
-    model = models.fit_text_classifier(dataset.shuffled(labelled, 5).limit(20_000))
+    # The fit takes at most max_rows labelled rows, first by hash.
+    model = models.fit_text_classifier(dataset.shuffled(labelled, 5).limit(max_rows))
     return models.classify(model, own).select("uid", "predicted")
 
 
