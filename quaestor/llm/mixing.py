@@ -7,6 +7,9 @@
    then each shard of a source its blocks: always to the highest quotient votes / (2 seats + 1).
 3. In a shard, documents stand in seeded order; the shard's words are cut in equal blocks. Quotas
    beyond the number of blocks are whole repeats; the rest goes to seeded blocks.
+4. A source of fewer than SMALL_BLOCKS blocks stands outside this apportionment, as a block is too
+   much of it: its seats are single words, its rounded target in all, and what is taken beyond whole
+   repeats is one run of words (from the last word on to the first) at a seeded place.
 
 Only (source, shard) totals are gathered; a document's share is arithmetic on its own row.
 """
@@ -23,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Parameters of the registered query.
 BLOCK_WORDS = 32
 MAX_EPOCHS = 3
+#: Blocks from which a source is mixed in blocks; a smaller one is mixed by words.
+SMALL_BLOCKS = 32
 WEIGHTS = (1, 2, 3)
 #: Documents of a source in one shard, about; the number of shards follows the input.
 SHARD_ROWS = 5_000
@@ -113,15 +118,17 @@ def mix(
     df = df.withColumn("h", _seeded(seed, F.col("doc_id")))
     totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("n_shards"))
     targets = source_targets(totals, weights, max_epochs)
+    small = F.col("source_size") < block_words * SMALL_BLOCKS
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")
-    quotas = sainte_lague(targets.withColumn("seats", blocks), [], ["source"], "target", "seats").drop("seats").withColumnRenamed("n_seats", "quota")
+    quotas = sainte_lague(targets.where(~small).withColumn("seats", blocks), [], ["source"], "target", "seats").drop("seats").withColumnRenamed("n_seats", "quota")
+    quotas = quotas.unionByName(targets.where(small).withColumn("quota", F.round("target").cast("long")))
 
     # A shard of a source holds about shard_rows documents; equal ids share a shard.
     sharded = _with_source(df, totals.select("source", "n_shards")).withColumn("shard", F.pmod(_seeded(seed + 1, F.col("doc_id")), F.col("n_shards"))).drop("n_shards")
     shards = sharded.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     shards = _with_source(shards, quotas)
     shards = sainte_lague(shards, ["source"], ["shard"], "words", "quota")
-    shards = shards.withColumn("n_blocks", F.greatest(F.round(F.col("words") / block_words), F.lit(1)).cast("long"))
+    shards = shards.withColumn("n_blocks", F.greatest(F.when(small, F.col("words")).otherwise(F.round(F.col("words") / block_words)), F.lit(1)).cast("long"))
     won = F.least("n_seats", F.col("n_blocks") * max_epochs)
     shards = shards.select(
         F.col("source").alias("s_source"),
@@ -132,7 +139,7 @@ def mix(
         "n_blocks",
         F.floor(won / F.col("n_blocks")).cast("long").alias("epochs"),
         F.pmod(won, "n_blocks").alias("more"),
-        F.pmod(F.lit(_PRIME), F.col("n_blocks")).alias("stride"),
+        F.when(small, F.lit(1)).otherwise(F.pmod(F.lit(_PRIME), F.col("n_blocks"))).alias("stride"),
         F.pmod(_seeded(seed + 2, F.col("source"), F.col("shard")), F.col("n_blocks")).alias("shift"),
     )
     order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -64,6 +64,43 @@ def test_mix_of_hard_rows(spark):
     assert {r.doc_id: r.size for r in got}[5002] == 0
 
 
+def tiny(hot):
+    """Sources of 1 to 60 words, some in several documents, with or without a large one."""
+    rows = [(100 * n + k, " ".join(f"w{n}x{i}" for i in range(k, n, 3)), f"t{n:02}") for n in range(1, 61) for k in range(3)]
+    return rows + [(10_000 + i, "hot " * 50, "zz") for i in range(400 if hot else 0)]
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_tiny_sources_reach_their_targets(spark, hot):
+    got = mix(rows_of(spark, tiny(hot))).collect()
+    taken, target, size = defaultdict(int), {}, {}
+    for r in got:
+        assert 0 <= r.taken <= MAX_EPOCHS * r.size
+        key = r.source_size
+        taken[key] += r.taken
+        target[key], size[key] = r.target, r.source_size
+    assert len(target) == 60 + hot
+    for s in target:
+        assert abs(taken[s] - target[s]) <= (0.5 if s <= 60 else 0.01 * target[s])
+    if hot:
+        assert all(taken[n] == 3 * n for n in range(1, 61))
+
+
+def test_tables_of_few_words(spark):
+    for n in (1, 5, 15):
+        docs = rows_of(spark, [(1, " ".join(f"w{i}" for i in range(n)), "a"), (2, None, "a"), (3, "", "b")])
+        assert [r.text.split() for r in mixed_documents(docs).collect()] == [[f"w{i}" for i in range(n)]]
+
+
+def test_tiny_documents_follow_the_plan(spark):
+    docs = rows_of(spark, tiny(False))
+    plan = {r.doc_id: r.taken for r in mix(docs).collect()}
+    words = defaultdict(int)
+    for r in mixed_documents(docs).collect():
+        words[r.doc_id] += len(r.text.split())
+    assert dict(words) == {k: v for k, v in plan.items() if v}
+
+
 def test_documents_follow_the_plan(spark):
     rows = [(i, f"a{i}  b{i}\n" * (i % 40 + 1), "abc"[i % 3]) for i in range(200)]
     docs = rows_of(spark, rows)
