@@ -79,23 +79,55 @@ def labelled(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(occurrence == 0, h, mixed(h + occurrence * U64(0xD6E8FEB86659FD93)))
 
 
+def _least(h: np.ndarray, at: np.ndarray, order: int, seed: np.ndarray) -> np.ndarray:
+    """Places of each text's shingles with the smallest seeded hashes, len(h) where there are no more; equal hashes go by place.
+
+    Places stand in the low bits of the keys, so h has 2**_PLACE_BITS shingles at most.
+    """
+    n, texts = len(h), len(at) - 1
+    mask = U64((1 << _PLACE_BITS) - 1)
+    full = ~U64(0)
+    key = (mixed(h ^ seed) & ~mask) | np.arange(n, dtype=U64)
+    chosen = np.full((texts, order), n, np.int64)
+    for r in range(order):
+        least = np.minimum.reduceat(key, at[:-1])
+        there = least != full
+        place = (least & mask).astype(np.int64)
+        chosen[there, r] = place[there]
+        key[place[there]] = full
+    return chosen
+
+
+def _least_of_pieces(h: np.ndarray, at: np.ndarray, order: int, seed: np.ndarray) -> np.ndarray:
+    """As _least() for any number of shingles: the smallest of each piece are merged."""
+    n, step = len(h), 1 << _PLACE_BITS
+    if n <= step:
+        return _least(h, at, order, seed)
+    texts, places = [], []
+    for p in range(0, n, step):
+        q = min(p + step, n)
+        i, j = int(np.searchsorted(at, p, "right")) - 1, int(np.searchsorted(at, q, "left"))
+        chosen = _least(h[p:q], np.clip(at[i : j + 1], p, q) - p, order, seed)
+        text, r = np.nonzero(chosen < q - p)
+        texts.append(text + i)
+        places.append(chosen[text, r] + p)
+    text, place = np.concatenate(texts), np.concatenate(places)
+    by = np.lexsort((place, mixed(h[place] ^ seed) & ~U64(step - 1), text))
+    text, place = text[by], place[by]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    first = rank < order
+    out = np.full((len(at) - 1, order), n, np.int64)
+    out[text[first], rank[first]] = place[first]
+    return out
+
+
 def sketches(h: np.ndarray, at: np.ndarray, order: int, salt: int) -> np.ndarray:
     """Order MinHash: a row of SKETCHES values for each text; texts must have a shingle each."""
     n, texts = len(h), len(at) - 1
-    mask = U64((1 << _PLACE_BITS) - 1)
-    places = np.arange(n, dtype=U64)
     out = np.zeros((texts, SKETCHES), U64)
-    full = ~U64(0)
     padded = np.concatenate([h, np.zeros(1, U64)])
     for k in range(SKETCHES):
-        key = (mixed(h ^ mixed(np.array([salt * 1000 + k + SEED], U64))) & ~mask) | places
-        chosen = np.full((texts, order), n, np.int64)
-        for r in range(order):
-            least = np.minimum.reduceat(key, at[:-1])
-            there = least != full
-            place = (least & mask).astype(np.int64)
-            chosen[there, r] = place[there]
-            key[place[there]] = full
+        chosen = _least_of_pieces(h, at, order, mixed(np.array([salt * 1000 + k + SEED], U64)))
         chosen.sort(axis=1)
         value = np.full(texts, U64(k + 1 + 100 * salt))
         for r in range(order):

@@ -47,6 +47,24 @@ def edited(rng, text, k):
     return " ".join(words)
 
 
+def test_sketches_of_more_shingles_than_a_place_counts(monkeypatch):
+    """Seeded minima by sorting, over texts that pieces cut and texts that they don't."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 5000, 2, 64, 700, 1, 1]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 1 << 63, at[-1]).astype(np.uint64)
+    monkeypatch.setattr(N, "_PLACE_BITS", 13)
+    whole = N.sketches(h, at, N.ORDER, 0)
+    monkeypatch.setattr(N, "_PLACE_BITS", 6)
+    assert np.array_equal(N.sketches(h, at, N.ORDER, 0), whole)
+    seed = N.mixed(np.array([4], np.uint64))
+    got = N._least_of_pieces(h, at, N.ORDER, seed)
+    key = N.mixed(h ^ seed)
+    for t, n in enumerate(sizes):
+        want = sorted(range(at[t], at[t + 1]), key=lambda i: key[i])[: N.ORDER]
+        assert got[t].tolist() == want + [len(h)] * (N.ORDER - len(want))
+
+
 def test_alignment_is_exact_where_it_counts():
     rng = np.random.default_rng(1)
     linked = 0
