@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quaestor.functions.stem import stem_of
 from quaestor.functions.text import tokens
+from quaestor.sources.shared import written
 
+#: Words of a text that an encoder is given, and those of a context and of an utterance that it reads.
 MAX_WORDS = 160
+MAX_CONTEXT, MAX_UTTERANCE = 160, 80
+#: Wrong answers beside the right one in an evaluation example.
+DISTRACTORS = 9
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -22,15 +29,22 @@ def pairs(docs: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str = "uid") -> DataFrame:
-    """Adds a dense 0-based position by key. Positions are made from counts of ranges, not in one task."""
-    parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("position", F.col("_own") + F.col("_before")).drop("_part", "_own", "_n", "_before")  # one row for each partition
+    """Adds a dense 0-based position by key; rows of one key come in any order. Positions are made from counts of ranges, not in one task.
+
+    The sorted ranges are written once, and both the counts and the rows are read from there: two
+    plans of the same ranges may draw their bounds differently.
+    """
+    ranges = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
+    ranges = written(ranges, "numbered")
+    part = F.shiftright("_id", 33)
+    counts = ranges.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranges.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    return placed.withColumn("position", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_id", "_part", "_before")
 
 
-def distractors(rows: DataFrame, n: int = 9, seed: int = 1) -> DataFrame:
+def distractors(rows: DataFrame, n: int = DISTRACTORS, seed: int = 1) -> DataFrame:
     """n random utterances for each context, with replacement: uid, pos, distractor_uid."""
     placed = numbered(rows.select("uid"))
     total = placed.count()
@@ -58,12 +72,12 @@ def shuffled(rows: DataFrame, seed: int = 3, key: str = "uid") -> DataFrame:
 def vocabulary(docs: DataFrame, min_frequency: int = 10) -> DataFrame:
     """Words of at least min_frequency occurrences with ids from 1, most frequent first: id, word, n. Id 0 is for all others.
 
-    The numbering is a global order over the vocabulary, not over the text.
+    Words are numbered by ranges, so a vocabulary of any size is no task's alone.
     """
     each = docs.select(F.explode(tokens(F.concat_ws(" ", "question_title", "question_body"))).alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_frequency)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word")
-    return counts.select(F.row_number().over(order).alias("id"), "word", "n")
+    placed = numbered(counts.withColumn("_order", F.struct((-F.col("n")).alias("n"), "word")), "_order")
+    return placed.select((F.col("position") + 1).cast("int").alias("id"), "word", "n")
 
 
 def sentence_ids(docs: DataFrame, vocab: DataFrame, length: int = MAX_WORDS) -> DataFrame:
@@ -76,6 +90,73 @@ def sentence_ids(docs: DataFrame, vocab: DataFrame, length: int = MAX_WORDS) ->
     return listed.select("uid", padded.alias("ids"), F.size("x").alias("n_words"))
 
 
+def example_schema(mode: str) -> T.StructType:
+    """Columns of an encoder's examples: mode 'train' has a label, 'eval' has distractors, 'infer' neither."""
+    if mode not in ("train", "eval", "infer"):
+        raise ValueError(f"no such mode: {mode}")
+    sides = ["context", "utterance"] + [f"distractor_{k}" for k in range(DISTRACTORS)] * (mode == "eval")
+    fields = [f for side in sides for f in (T.StructField(side, T.ArrayType(T.IntegerType())), T.StructField(f"{side}_len", T.IntegerType()))]
+    return T.StructType(fields + [T.StructField("label", T.IntegerType())] * (mode == "train"))
+
+
+def text_features(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """What an encoder reads of each text: uid, ids (padded), n_words (all words of the text). Written, as examples read it once for each side."""
+    sizes = docs.select("uid", F.size(tokens(F.col("question_body"))).alias("n_words"))
+    return written(sentence_ids(docs, vocab).select("uid", "ids").join(sizes, "uid"), "features")
+
+
+def clamped(length: Column, most: int) -> Column:
+    """Words that the encoder reads: those there are, most at most."""
+    return F.least(length, F.lit(most))
+
+
+def train_examples(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """Examples of example_schema('train'). pairs: context_uid, utterance_uid, label; features: text_features()."""
+    return _sides(pairs.select("*", F.col("label").try_cast("double").cast("int").alias("_label")).drop("label").withColumnRenamed("_label", "label"), features, {"context": "context_uid", "utterance": "utterance_uid"}, "train")
+
+
+def eval_examples(drawn: DataFrame, features: DataFrame) -> DataFrame:
+    """Examples of example_schema('eval'): each text as context and utterance, and its distractors by position.
+
+    drawn: uid, pos (from 1), distractor_uid, as distractors() gives them. All sides are looked up in one join, and a row is
+    put together from them in one grouping.
+    """
+    sides = ["context", "utterance", *[f"distractor_{k}" for k in range(DISTRACTORS)]]
+    own = features.select("uid", F.explode(F.array(F.lit(-1), F.lit(0))).alias("pos"), F.col("uid").alias("of"))
+    wanted = drawn.where(F.col("pos") <= DISTRACTORS).select("uid", "pos", F.col("distractor_uid").alias("of")).unionByName(own)
+    found = wanted.join(features.select(F.col("uid").alias("of"), F.struct("ids", "n_words").alias("f")), "of")
+    wide = found.groupBy("uid").agg(*[F.max(F.when(F.col("pos") == k - 1, F.col("f"))).alias(side) for k, side in enumerate(sides)])
+    return wide.select(*[c for side in sides for c in (F.col(f"{side}.ids").alias(side), F.col(f"{side}.n_words").alias(f"{side}_len"))])
+
+
+def _sides(rows: DataFrame, features: DataFrame, sides: dict[str, str], mode: str) -> DataFrame:
+    for side, key in sides.items():
+        own = features.select(F.col("uid").alias(key), F.col("ids").alias(side), F.col("n_words").alias(f"{side}_len"))
+        rows = rows.join(own, key)
+    return rows.select(*example_schema(mode).names)
+
+
+def batches(rows: DataFrame, size: int, epochs: int = 1, seed: int = 4, key: str = "uid") -> DataFrame:
+    """Rows once for each epoch, newly shuffled in each: the columns of rows, epoch (from 0), batch (from 0 in each epoch).
+
+    Batches of an epoch have size rows, its last one what is left.
+    """
+    total = rows.count()
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs > 0 else rows.limit(0).withColumn("epoch", F.lit(0))
+    placed = numbered(each.withColumn("_order", F.struct("epoch", hashed(seed, F.col("epoch"), F.col(key)).alias("h"), F.col(key).alias("k"))), "_order")
+    own = F.col("position") - F.col("epoch") * F.lit(total)
+    return placed.withColumn("batch", F.floor(own / F.lit(max(size, 1))).cast("int")).drop("_order", "position")
+
+
+def term_frequencies(words: DataFrame) -> DataFrame:
+    """Frequencies by stem: of the words of a stem the first of the list counts (word, frequency).
+
+    words: position, word, frequency.
+    """
+    stems = words.withColumn("stem", stem_of(F.col("word")))
+    return stems.groupBy("stem").agg(F.min_by("frequency", "position").alias("frequency")).select(F.col("stem").alias("word"), "frequency")
+
+
 def fasttext_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Lines of a supervised text file: label, text without line breaks."""
     text = F.regexp_replace("question_body", "[\r\n]+", " ")
