@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PUNCTUATION = string.punctuation
 #: A web address in running text.
 URL = r"https?://[^ \t\n\r\f]+"
+# Fixed value: an address of any scheme, up to the end of its path. Word characters are those of any script.
+ANY_URL = r"[\p{L}\p{N}_]+://[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)*(/[^\s/]*)*"
 BLANK = r"[ \t\n\r\f]+"
 
 #: English function words that are not indexed.
@@ -23,9 +25,9 @@ STOPWORDS = tuple(
 )
 
 
-def clean(text: Column) -> Column:
-    """Text without web addresses and ASCII punctuation."""
-    return F.translate(F.regexp_replace(text, URL, ""), PUNCTUATION, "")
+def clean(text: Column, any_scheme: bool = False) -> Column:
+    """Text without web addresses (of http and https, or of any scheme) and ASCII punctuation."""
+    return F.translate(F.regexp_replace(text, ANY_URL if any_scheme else URL, ""), PUNCTUATION, "")
 
 
 def tokens(text: Column, lower: bool = True) -> Column:
@@ -54,6 +56,16 @@ def mentions_any_word(text: Column, phrase: Column) -> Column:
     return F.exists(F.split(F.lower(phrase), " "), lambda w: F.contains(F.lower(text), w))
 
 
+def detected_product(question: Column, products: Column) -> Column:
+    """The product that a question names: its first word that is a product's whole name, case aside; else null.
+
+    products is an array of names, in the order of their lists; names are lower-cased in the result.
+    """
+    names = F.transform(products, lambda n: F.lower(n))
+    words = F.filter(F.split(F.lower(question), r"\s+"), lambda w: (w != "") & F.array_contains(names, w))
+    return F.get(words, F.lit(0))
+
+
 def query_terms(question: str, lower: bool = True) -> list[str]:
     """Distinct words of a question without stop words, in order; the driver's side of tokens()."""
     plain = (question.lower() if lower else question).translate(str.maketrans("", "", PUNCTUATION))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +24,32 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def bilinear_scores(queries: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
-    """sigmoid(q . c) for pairs that agree on some columns. Both sides have id, vector and these columns."""
-    left = queries.select(*on, F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    right = candidates.select(*on, F.col("id").alias("uid"), F.col("vector").alias("c"))
-    return left.join(right, on).select("query_id", "uid", F.round(1 / (1 + F.exp(-dot(F.col("q"), F.col("c")))), 6).alias("score"))
+def bilinear_scores(queries: DataFrame, candidates: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """sigmoid(q . c) for pairs that agree on some columns. Both sides have id, vector and these columns.
+
+    Candidates of a key are dealt over salts groups, and each query goes to all of them, so that a common key is many tasks'.
+    """
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    left = queries.select(*on, F.col("id").alias("query_id"), F.col("vector").alias("q"), salt)
+    right = candidates.select(*on, F.col("id").alias("uid"), F.col("vector").alias("c"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
+    return left.join(right, [*on, "_salt"]).select("query_id", "uid", F.round(1 / (1 + F.exp(-dot(F.col("q"), F.col("c")))), 6).alias("score"))
+
+
+# The settings that the encoder was published with.
+@dataclass(frozen=True)
+class EncoderSettings:
+    """Sizes of the encoder and how it was trained."""
+
+    vocabulary: int = 91_620
+    embedding: int = 100
+    units: int = 256
+    context: int = 160
+    utterance: int = 80
+    learning_rate: float = 0.001
+    clip: float = 10.0
+    batch: int = 128
+    evaluation_batch: int = 16
+    optimizer: str = "Adam"
 
 
 @dataclass(frozen=True)
@@ -73,6 +95,51 @@ def pair_scores(rows: DataFrame, weights: EncoderWeights) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def example_ranks(examples: DataFrame, weights: EncoderWeights, context: int = 160, utterance: int = 80) -> DataFrame:
+    """The true utterance's rank among it and the distractors of each example: probability (of the true one), rank (from 0).
+
+    Rows of dataset.eval_examples(). Equal probabilities count in the truth's favour. Each context is encoded once.
+    """
+    sides = ["utterance", *[c.removesuffix("_len") for c in examples.columns if c.startswith("distractor_") and c.endswith("_len")]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            stacked = lambda side, most: encode(weights, np.stack(frame[side].to_numpy()), np.minimum(frame[f"{side}_len"].to_numpy(), most))
+            left = stacked("context", context) @ weights.pairing
+            logits = np.stack([np.einsum("nj,nj->n", left, stacked(s, utterance)) for s in sides], axis=1)
+            p = np.round(1 / (1 + np.exp(-logits)), 6)
+            yield pd.DataFrame({"probability": p[:, 0], "rank": (p[:, 1:] > p[:, :1]).sum(axis=1).astype(np.int32)})
+
+    return examples.mapInPandas(run, "probability double, rank int")
+
+
+def initial_embeddings(vocab: DataFrame, vectors: DataFrame, width: int, seed: int = 6) -> DataFrame:
+    """A vector for each word of a vocabulary (id, word): that of vectors (word, vector), else uniform in [-0.25, 0.25) by hash.
+
+    Returns id, vector (width values; longer known vectors are an error of the caller's).
+    """
+    from quaestor.operators.dataset import hashed
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: hashed(seed, F.col("word"), k) / F.lit(float(1 << 29)) - 0.25)
+    known = vectors.select("word", F.transform("vector", lambda x: x.cast("double")).alias("known"))
+    return vocab.join(known, "word", "left").select("id", F.coalesce("known", drawn).alias("vector"))
+
+
+def fit_pair_scorer(pairs: DataFrame, rounds: int = 20) -> PipelineModel:
+    """A bilinear scorer with a diagonal form, fitted to pairs with left, right (arrays) and label (0 or 1).
+
+    It stands in for the training of the recurrent encoder.
+    """
+    return Pipeline(stages=[LogisticRegression(maxIter=rounds, regParam=0.01)]).fit(pair_features(pairs).select("features", F.col("label").cast("double").alias("label")))
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    product = F.zip_with("left", "right", lambda x, y: x.cast("double") * y.cast("double"))
+    return pairs.withColumn("features", array_to_vector(product))
+
+
 def fit_text_classifier(rows: DataFrame, features: int = 1 << 14, rounds: int = 20) -> PipelineModel:
     """Bag-of-words logistic regression on rows with text and label (0 or 1)."""
     stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"), HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(maxIter=rounds, regParam=0.01)]

@@ -1,87 +1,109 @@
 """Ranking over postings: TF-IDF, BM25, word and author rank, their combination, top k.
 
-Postings are (uid, zone, word, freq). A query is a short list of words on the driver; it filters
-the postings by an IN list that reaches the scan, so only its words are ever aggregated.
+Each ranker takes documents or an Index of them. Given an index it reads the postings of the
+question's words and no text; given documents it searches the texts for these words, and nothing else
+is ever counted. A question is a short list of words on the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions.stem import stem_of
-from quaestor.functions.text import indexable, query_terms, tokens
-
-ZONES = ("title", "body")
+from quaestor.functions.text import tokens
+from quaestor.operators import index as I
+from quaestor.operators import models
+from quaestor.operators.dataset import MAX_CONTEXT, MAX_UTTERANCE, clamped, shuffled, text_features
+from quaestor.operators.index import Index, postings, question_terms
 
-
-def postings(docs: DataFrame, words=tokens) -> DataFrame:
-    """Words of both zones in one pass: uid, zone, word, freq."""
-    zones = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), words(F.col(f"question_{z}")).alias("words")) for z in ZONES]))
-    each = docs.select("uid", zones.alias("z")).select("uid", "z.zone", F.explode("z.words").alias("word"))
-    return each.where(indexable(F.col("word"))).groupBy("uid", "zone", "word").agg(F.count(F.lit(1)).alias("freq"))
+Source = DataFrame | Index
 
 
 def stemmed_postings(docs: DataFrame) -> DataFrame:
     """Postings by stem: words are chosen and counted as they stand, then those of a stem are added up."""
-    stems = postings(docs).withColumn("word", stem_of(F.col("word")))
-    return stems.groupBy("uid", "zone", "word").agg(F.sum("freq").alias("freq"))
+    return postings(docs, "stem")
 
 
 def query_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Postings of the query's words only: texts are searched for them before anything is counted."""
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return postings(docs, lambda text: F.filter(tokens(text), lambda w: F.array_contains(wanted, w)))
+    return postings(docs, words=lambda text: F.filter(tokens(text), lambda w: F.array_contains(wanted, w)))
+
+
+def _terms(source: Source, question: str) -> list[str]:
+    return source.terms(question) if isinstance(source, Index) else question_terms(question)
+
+
+def _asked(source: Source, terms: list[str]) -> DataFrame:
+    return source.asked(terms) if isinstance(source, Index) else query_postings(source, terms)
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    """The length that scores are divided by: twice that of the body, as the ranking it follows counts it."""
-    return docs.select("uid", (2 * F.length("question_body")).alias("length"))
+def _sizes(source: Source) -> DataFrame:
+    return source.documents if isinstance(source, Index) else I.sizes_of(source)
 
 
-def tfidf(docs: DataFrame, question: str, title_boost: float = 1.0, body_boost: float = 1.0, document_frequency: bool = False) -> DataFrame:
+def _total(source: Source) -> int:
+    return source.total if isinstance(source, Index) else source.count()
+
+
+def tfidf(source: Source, question: str, title_boost: float = 1.0, body_boost: float = 1.0, document_frequency: bool = False) -> DataFrame:
     """Scores of all documents that hold a word of the question: uid, score.
 
     In each zone: boost * (part of the question's words found) * sum(freq * idf / sqrt(length)), and
     the zones add up. idf is 1 + ln(N / (df + 1)), with df the number of documents that hold the word, or
-    1 by default (the ranking to be matched counts df within each document).
+    1 by default (the ranking to be matched counts df within each document). The part found is distinct
+    words / words of the question, where only the literal analyser counts repeated words.
     """
-    terms = query_terms(question)
-    own = query_postings(docs, terms)
-    total = F.lit(docs.count()).cast("double")
+    terms = _terms(source, question)
+    own = _asked(source, terms)
+    total = F.lit(float(_total(source)))
     if document_frequency:
         df = own.groupBy("zone", "word").agg(F.count(F.lit(1)).alias("df"))
         own = own.join(F.broadcast(df), ["zone", "word"])  # two rows for each word of the question
     else:
         own = own.withColumn("df", F.lit(1))
-    own = own.join(doc_lengths(docs), "uid").where("length > 0")
+    own = own.join(_sizes(source).select("uid", "length"), "uid").where("length > 0")
     each = F.col("freq") * (1 + F.ln(total / (F.col("df") + 1))) / F.sqrt("length")
     boost = F.when(F.col("zone") == "title", F.lit(float(title_boost))).otherwise(F.lit(float(body_boost)))
     zones = own.groupBy("uid", "zone").agg((F.first(boost) * F.count(F.lit(1)) / F.lit(max(len(terms), 1)) * F.sum(each)).alias("s"))
     return zones.groupBy("uid").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def bm25(docs: DataFrame, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Sum over words of the better zone's BM25: uid, score."""
-    terms = query_terms(question)
-    own = query_postings(docs, terms)
-    sizes = docs.select("uid", F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), F.size(tokens(F.col(f"question_{z}"))).alias("size")) for z in ZONES])).alias("x")).select("uid", "x.zone", "x.size")
-    stats = sizes.groupBy("zone").agg(F.avg("size").alias("mean"), F.count(F.lit(1)).alias("total"))
+def bm25(source: Source, question: str, k1: float = 1.2, b: float = 0.75, products: dict[str, float] | None = None) -> DataFrame:
+    """Sum over words of the better zone's BM25: uid, score.
+
+    products adds a boost to the documents that already match and whose column product has that value (documents only).
+    """
+    own = _asked(source, _terms(source, question))
+    sizes = _sizes(source)
+    if isinstance(source, Index):
+        stats = source.zones
+    else:
+        means = sizes.agg(F.count(F.lit(1)).alias("total"), *[F.avg(f"{z}_size").alias(z) for z in I.ZONES])
+        stats = means.select("total", F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), F.col(z).alias("mean")) for z in I.ZONES])).alias("x")).select("x.zone", "total", "x.mean")
     df = own.groupBy("zone", "word").agg(F.count(F.lit(1)).alias("df"))
-    wide = own.join(F.broadcast(df), ["zone", "word"]).join(F.broadcast(stats), "zone").join(sizes, ["uid", "zone"])  # both tables are as small as the question
+    wide = own.join(F.broadcast(df), ["zone", "word"]).join(F.broadcast(stats), "zone")  # both tables are as small as the question
+    wide = wide.join(sizes.select("uid", "title_size", "body_size"), "uid")
+    size = F.when(F.col("zone") == "title", F.col("title_size")).otherwise(F.col("body_size"))
     idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    part = F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * size / F.col("mean")))
     words = wide.groupBy("uid", "word").agg(F.max(idf * part).alias("s"))
-    return words.groupBy("uid").agg(F.round(F.sum("s"), 6).alias("score"))
+    scores = words.groupBy("uid").agg(F.round(F.sum("s"), 6).alias("score"))
+    if not products:
+        return scores
+    extra = reduce(lambda e, p: e.when(F.col("product") == p[0], F.lit(float(p[1]))), products.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    return scores.join(source.select("uid", "product"), "uid").select("uid", F.round(F.col("score") + extra, 6).alias("score"))
 
 
-def word_rank(docs: DataFrame, question: str) -> DataFrame:
+def word_rank(source: Source, question: str) -> DataFrame:
     """Word rank in closed form: uid, score.
 
     Every round of the iteration adds the same amount, so its number cancels when scores are divided
     by the largest of all nodes, words or documents.
     """
-    edges = query_postings(docs, query_terms(question))
+    edges = _asked(source, _terms(source, question))
     by_doc = edges.groupBy("word", "uid").agg(F.count(F.lit(1)).alias("edges"))
     den = by_doc.groupBy("word").agg(F.max(F.struct("uid", "edges")).alias("m")).select("word", F.col("m.edges").alias("den"))
     same = den.groupBy("den").agg(F.count(F.lit(1)).alias("n"))
@@ -90,9 +112,9 @@ def word_rank(docs: DataFrame, question: str) -> DataFrame:
     return _normalised(each.groupBy("uid").agg(F.sum("c").alias("s")), each.groupBy("word").agg(F.sum("c").alias("s")))
 
 
-def author_rank(docs: DataFrame) -> DataFrame:
+def author_rank(source: Source) -> DataFrame:
     """Author rank in closed form: uid, score. A document gets 1 / (authors with as many documents as its own)."""
-    known = docs.where(F.col("author_name").isNotNull()).select("uid", "author_name")
+    known = (source.documents if isinstance(source, Index) else source).where(F.col("author_name").isNotNull()).select("uid", "author_name")
     counts = known.groupBy("author_name").agg(F.count(F.lit(1)).alias("n_docs"))
     same = counts.groupBy("n_docs").agg(F.count(F.lit(1)).alias("n"))
     share = counts.join(same, "n_docs").select("author_name", (1.0 / F.col("n")).alias("c"), "n_docs")
@@ -106,10 +128,10 @@ def _normalised(documents: DataFrame, others: DataFrame) -> DataFrame:
     return documents.crossJoin(F.broadcast(most)).select("uid", F.round(F.coalesce(F.try_divide("s", "most"), F.lit(0.0)), 6).alias("score"))  # one row
 
 
-def combined_rank(docs: DataFrame, question: str, author: float = 1.0, word: float = 1.0) -> DataFrame:
+def combined_rank(source: Source, question: str, author: float = 1.0, word: float = 1.0) -> DataFrame:
     """author * author rank + word * word rank of documents with a word of the question: uid, score."""
-    a = author_rank(docs).withColumnRenamed("score", "a")
-    w = word_rank(docs, question).withColumnRenamed("score", "w")
+    a = author_rank(source).withColumnRenamed("score", "a")
+    w = word_rank(source, question).withColumnRenamed("score", "w")
     return w.join(a, "uid", "left").select("uid", F.round(author * F.coalesce("a", F.lit(0.0)) + word * F.col("w"), 6).alias("score"))
 
 
@@ -124,14 +146,62 @@ def ranked(scores: DataFrame, by: list[str], k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def fan_out(docs: DataFrame, question: str, k: int) -> DataFrame:
-    """Answers of three rankers to one question, with their text: model, rank, uid, question_title."""
-    models = {"bm25": bm25(docs, question), "tfidf": tfidf(docs, question), "graph": combined_rank(docs, question)}
-    frames = [top_k(scores, k).withColumn("model", F.lit(name)) for name, scores in models.items()]
-    lists = ranked(frames[0].unionByName(frames[1]).unionByName(frames[2]), ["model"], k)
-    return lists.join(docs.select("uid", "question_title"), "uid").select("model", "rank", "uid", "score", "question_title")
+def fan_out(docs: DataFrame, question: str, k: int, source: Source | None = None) -> DataFrame:
+    """Answers of three rankers to one question, with their text: model, rank, uid, question_title.
+
+    The rankers read source, an index of docs, if there is one.
+    """
+    source = docs if source is None else source
+    models = {"bm25": bm25(source, question), "tfidf": tfidf(source, question), "graph": combined_rank(source, question)}
+    return _listed(models, docs, k)
+
+
+def _listed(scores: dict[str, DataFrame], docs: DataFrame, k: int) -> DataFrame:
+    frames = [top_k(found, k).withColumn("model", F.lit(name)) for name, found in scores.items()]
+    lists = ranked(reduce(DataFrame.unionByName, frames), ["model"], k)
+    wanted = F.broadcast(lists)  # k rows for each ranker
+    return docs.select("uid", "question_title").join(wanted, "uid").select("model", "rank", "uid", "score", "question_title")
+
+
+def scored_texts(found: DataFrame, question: str, vocab: DataFrame, weights: models.EncoderWeights) -> DataFrame:
+    """Encoder scores of texts (uid, question_body) as answers to a question: uid, score. The question is the context."""
+    asked = found.sparkSession.createDataFrame([("question", question)], "uid string, question_body string")
+    context = text_features(asked, vocab).select(F.col("ids").alias("context"), clamped(F.col("n_words"), MAX_CONTEXT).alias("context_len"))
+    utterance = text_features(found, vocab).select("uid", F.col("ids").alias("utterance"), clamped(F.col("n_words"), MAX_UTTERANCE).alias("utterance_len"))
+    scored = models.pair_scores(utterance.crossJoin(F.broadcast(context)), weights)  # one question
+    return scored.select("uid", F.round("probability", 6).alias("score"))
+
+
+def rerank(candidates: DataFrame, docs: DataFrame, question: str, vocab: DataFrame, weights: models.EncoderWeights) -> DataFrame:
+    """Encoder scores of retrieved candidates (uid): uid, score. Only their texts are read on; there are as many as the first stage was asked for."""
+    found = docs.join(F.broadcast(candidates.select("uid")), "uid").select("uid", "question_body")
+    return scored_texts(found, question, vocab, weights)
+
+
+def retrieve_rerank(source: Source, docs: DataFrame, question: str, vocab: DataFrame, weights: models.EncoderWeights, n: int, k: int) -> DataFrame:
+    """The n best by BM25, ordered anew by the encoder; the k best of them: uid, score."""
+    return top_k(rerank(top_k(bm25(source, question), n), docs, question, vocab, weights), k)
+
+
+def neural_fan_out(source: Source, docs: DataFrame, question: str, vocab: DataFrame, weights: models.EncoderWeights, n: int, k: int) -> DataFrame:
+    """Answers of the graph, of the encoder's new order of the search results, and of the search: model, rank, uid, score, question_title."""
+    lists = {"graph": combined_rank(source, question), "neural": retrieve_rerank(source, docs, question, vocab, weights, n, k), "search": bm25(source, question)}
+    return _listed(lists, docs, k)
+
+
+def answer(source: Source, docs: DataFrame, question: str, k: int = 10) -> DataFrame:
+    """Answers to a free-text question by TF-IDF, best first: uid, score, question_title, question_body."""
+    best = F.broadcast(top_k(tfidf(source, question), k))  # k rows
+    return docs.select("uid", "question_title", "question_body").join(best, "uid").select("uid", "score", "question_title", "question_body").orderBy(F.desc("score"), F.desc("uid"))
+
+
+def suggestions(docs: DataFrame, k: int, seed: int = 8) -> DataFrame:
+    """k titles to suggest as questions, drawn by hash: uid, question_title. Empty titles are left out."""
+    titled = docs.where("question_title <> ''").select("uid", "question_title")
+    return shuffled(titled, seed).limit(k)
 
 
-def keyword_rank(docs: DataFrame, keywords: str, field: str) -> DataFrame:
-    """BM25 score multiplied by a numeric field: uid, score."""
-    return bm25(docs, keywords).join(docs.select("uid", F.col(field).alias("_f")), "uid").select("uid", F.round(F.col("score") * F.col("_f"), 6).alias("score"))
+def keyword_rank(docs: DataFrame, keywords: str, field: str, source: Source | None = None) -> DataFrame:
+    """BM25 score multiplied by a numeric field of docs: uid, score."""
+    scores = bm25(docs if source is None else source, keywords)
+    return scores.join(docs.select("uid", F.col(field).alias("_f")), "uid").select("uid", F.round(F.col("score") * F.col("_f"), 6).alias("score"))
