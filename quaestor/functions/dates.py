@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import zoneinfo
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,24 @@ _MONTHS = "january february march april may june july august september october n
 _DAYS = "monday tuesday wednesday thursday friday saturday sunday thurs tues thur mon tue wed thu fri sat sun".split()
 _ORDINALS = r"\d+(?:st|nd|rd|th)|" + "|".join("first second third fourth fifth sixth seventh eighth ninth tenth next last".split())
 _FILLERS = "standard daylight savings until time date due by on of to at t z".split()
-_ZONE = r"(?:utc|gmt|pacific|eastern|mountain|central|[a-z]{1,4}t(?![a-z]))"
+_REGIONS = {"pacific": "US/Pacific", "eastern": "US/Eastern", "mountain": "US/Mountain", "central": "US/Central"}
+
+
+def _zone_names() -> dict[str, dt.tzinfo]:
+    """Letters that zones of the public time zone database go by in winter or summer, and the regional names; the first zone in order that uses a name gives its offset."""
+    found: dict[str, dt.tzinfo] = {}
+    for name in ("UTC", *sorted(n for n in zoneinfo.available_timezones() if n.startswith(("US/", "Europe/"))), *sorted(zoneinfo.available_timezones())):
+        zone = zoneinfo.ZoneInfo(name)
+        for month in (1, 7):
+            moment = dt.datetime(2015, month, 1, tzinfo=zone)
+            letters = moment.tzname() or ""
+            if letters.isalpha() and letters.isupper() and 2 <= len(letters) <= 5:
+                found.setdefault(letters.lower(), dt.timezone(moment.utcoffset()))
+    return found | {k: zoneinfo.ZoneInfo(v) for k, v in _REGIONS.items()}
+
+
+_ZONES = _zone_names()
+_ZONE = "(?:(?:" + "|".join(sorted(_ZONES, key=lambda z: (-len(z), z))) + ")(?![a-z]))"
 _PERIOD = r"(?:a\.m\.|p\.m\.|am|pm)"
 _KINDS = {
     "time": rf"\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}})?\s*{_PERIOD}?\s*{_ZONE}?|\d{{1,2}}\s*{_PERIOD}",
@@ -41,6 +59,8 @@ _TOKEN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()), re.IGN
 #: A run of three or more tokens, each matched once and for all.
 _RUN = re.compile("(?>" + "|".join(_KINDS.values()) + "){3,}", re.IGNORECASE)
 _DIGIT = re.compile(r"\d")
+#: A zone right after a clock time or a period, as _KINDS takes it.
+_TIME_ZONE = re.compile(rf"(?<=[\d.m ])\s*({_ZONE})(?![a-z])", re.IGNORECASE)
 _NOISE = re.compile(r"\b(?:standard|daylight|savings|time|date|by|due|on|to)\b", re.IGNORECASE)
 _ENDS = " \n\t:-.,_"
 
@@ -80,15 +100,22 @@ def contains_strict_date(text: str) -> bool:
 
 
 def parse_date(text: str, base: dt.datetime = BASE_DATE) -> dt.datetime | None:
-    """A candidate as a moment (UTC where it names no zone), or None."""
-    plain = _NOISE.sub(" ", text).strip(_ENDS)
+    """A candidate as a moment (UTC where it names no zone), or None. Of several zones the last by name counts."""
+    plain = _NOISE.sub(" ", text)
+    zones = sorted(m.lower() for m in _TIME_ZONE.findall(plain))
+    plain = (_TIME_ZONE.sub(" ", plain) if zones else plain).strip(_ENDS)
     if len(plain) < 3:
         return None
     try:
         found = dateutil_parser.parse(plain, default=base, ignoretz=False)
     except (ValueError, OverflowError, TypeError):
         return None
-    return found.astimezone(dt.UTC).replace(tzinfo=None) if found.tzinfo else found
+    if zones and not found.tzinfo:
+        found = found.replace(tzinfo=_ZONES[zones[-1]])
+    try:
+        return found.astimezone(dt.UTC).replace(tzinfo=None) if found.tzinfo else found
+    except OverflowError:
+        return None
 
 
 def find_dates(text: str, strict: bool = True, base: dt.datetime = BASE_DATE) -> list[tuple[dt.datetime, str, int, int]]:

@@ -59,3 +59,27 @@ def question_link(link: Column) -> Column:
 def allowed(url: Column, allow: str, deny: str) -> Column:
     """URL guiding: the allow pattern occurs and the deny pattern doesn't."""
     return url.rlike(allow) & ~url.rlike(deny)
+
+
+def absolute(link: Column, page: Column) -> Column:
+    """A link with scheme and host: relative ones count from the root of the page's site, not from its folder.
+
+    Steps up at the front of a link go no further than the root. Links with a scheme of their own (mailto:,
+    javascript:, too) stay as they are, and so do all links of a page without scheme or host.
+    """
+    scheme, site = F.try_parse_url(page, F.lit("PROTOCOL")), F.try_parse_url(page, F.lit("AUTHORITY"))
+    base = F.concat(scheme, F.lit("://"), site)
+    inner = F.regexp_replace(link, r"^/?(\.\.?/)+", "")
+    whole = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(link.rlike(r"^([?#]|$)"), F.concat(base, link))
+        .when(F.startswith(inner, F.lit("/")), F.concat(base, inner))
+        .otherwise(F.concat(base, F.lit("/"), inner))
+    )
+    return F.coalesce(whole, link)
+
+
+def request_id(url: Column) -> Column:
+    """First five hex digits of a URL's SHA-1, by which logs name a request."""
+    return F.substring(F.sha1(url), 1, 5)

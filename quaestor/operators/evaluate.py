@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage between rounds in the folder that the cluster shares."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quaestor.sources.shared import written
 
 
 def duplicate_closure(links: DataFrame) -> DataFrame:
@@ -25,13 +15,13 @@ def duplicate_closure(links: DataFrame) -> DataFrame:
     a number of rounds that grows with the logarithm of its width.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _written(both)
-    labels = _written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "uid"))
+    both = written(both, "closure")
+    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "uid"), "closure")
     while True:
         near = both.join(labels.withColumnRenamed("uid", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["uid"] == near["a"]).select("uid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("uid").alias("label"), F.col("label").alias("further"))
-        after = _written(lower.join(jump, "label", "left").select("uid", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        after = written(lower.join(jump, "label", "left").select("uid", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "closure")
         if after.where("label <> old").isEmpty():
             return after.select("uid", F.col("label").alias("class_uid"))
         labels = after.select("uid", "label")
@@ -48,6 +38,34 @@ def first_match(queries: DataFrame, predictions: DataFrame, k: int) -> DataFrame
     return found.withColumn("rank", F.when(F.col("rank").isNull(), k + 2).when(F.col("rank") > k, k + 1).otherwise(F.col("rank")))
 
 
+def closure_best_ranks(predictions: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Best rank of any other member of a question's class of duplicates: model, query_uid, best_rank.
+
+    predictions: model, query_uid, rank, uid; classes: uid, class_uid as duplicate_closure() gives them. Beyond k the rank is
+    k + 1, and k + 2 where no member is listed. Questions without duplicates, and models without a list for a question, have
+    no row. Members are recognised by their class, so a class is never paired out.
+    """
+    of = lambda uid, name: classes.select(F.col("uid").alias(uid), F.col("class_uid").alias(name))
+    listed = predictions.join(of("query_uid", "_own"), "query_uid").join(of("uid", "_found"), "uid", "left")
+    hit = (F.col("_own") == F.col("_found")) & (F.col("uid") != F.col("query_uid"))
+    best = listed.groupBy("model", "query_uid").agg(F.min(F.when(hit, F.col("rank"))).alias("rank"))
+    return best.select("model", "query_uid", F.when(F.col("rank").isNull(), k + 2).when(F.col("rank") > k, k + 1).otherwise(F.col("rank")).alias("best_rank"))
+
+
+def original_links(rows: DataFrame) -> DataFrame:
+    """Each duplicate question with the question that it points at: uid, original_uid (null if that one isn't there).
+
+    rows: uid, source_url, question_original_url (null where a question is no duplicate). Of rows with one URL the smallest uid counts.
+    """
+    known = rows.groupBy(F.col("source_url").alias("question_original_url")).agg(F.min("uid").alias("original_uid"))
+    return rows.where(F.col("question_original_url").isNotNull()).join(known, "question_original_url", "left").select("uid", "original_uid")
+
+
+def labelled_predictions(labels: DataFrame, predictions: DataFrame, on: str) -> DataFrame:
+    """Labels beside predictions of the same key; where either side lacks one, its columns are null."""
+    return labels.join(predictions, on, "full")
+
+
 def best_ranks(matches: DataFrame) -> DataFrame:
     """Best rank over all wanted uids: model, query_uid, best_rank."""
     return matches.groupBy("model", "query_uid").agg(F.min("rank").alias("best_rank"))

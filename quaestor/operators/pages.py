@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urlparse
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaestor.functions import urls as U
-from quaestor.functions.dates import contains_strict_date, find_dates
+from quaestor.functions.dates import contains_strict_date, find_dates, macrumors_date, superuser_date
 
 # Text lengths of a post, links of a list, parts of URLs and of class names.
 MIN_TEXT, MAX_TEXT = 150, 5000
@@ -57,20 +59,58 @@ class Node:
     def text(self) -> str:
         """Visible text with white space collapsed."""
         if self._text is None:
-            parts: list[str] = []
-            todo: list[Node | str] = [self]
-            while todo:
-                item = todo.pop()
-                if isinstance(item, str):
-                    parts.append(item)
-                else:
-                    todo.extend(reversed(item.children))
-            self._text = " ".join("".join(parts).split())
+            self._text = " ".join(self.raw().split())
         return self._text
 
+    def raw(self) -> str:
+        """Text as it is written."""
+        parts: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                parts.append(item)
+            else:
+                todo.extend(reversed(item.children))
+        return "".join(parts)
+
+    def own(self) -> str | None:
+        """The first piece of text that stands directly in this element."""
+        return next((c for c in self.children if isinstance(c, str)), None)
+
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
+    def select(self, path: str) -> Iterator[Node]:
+        """Elements below this one on a path of steps, in document order.
+
+        A step is .class, #id or a tag; '>' before it asks for a child, otherwise any depth will do, and tag:n is
+        the n-th child of that tag.
+        """
+        steps, child = [], False
+        for word in path.split():
+            if word == ">":
+                child = True
+            else:
+                steps.append((word, child))
+                child = False
+        found = [self]
+        for step, child in steps:
+            below = (n for top in found for n in (top.elements() if child else (x for x in top.walk() if x is not top)))
+            found = list({id(n): n for n in below if n._is(step)}.values())
+        order = {id(n): k for k, n in enumerate(self.walk())} if len(steps) > 1 and len(found) > 1 else {}
+        return iter(sorted(found, key=lambda n: order.get(id(n), 0)))
+
+    def _is(self, step: str) -> bool:
+        if step[0] == ".":
+            return step[1:] in self.classes()
+        if step[0] == "#":
+            return self.attrs.get("id") == step[1:]
+        tag, _, place = step.partition(":")
+        if self.tag != tag:
+            return False
+        return not place or self.parent is not None and [c for c in self.parent.elements() if c.tag == tag].index(self) == int(place) - 1
+
     def markup(self, skip: Node | None = None) -> str:
         """Attributes and text in document order, without tags whose name begins with 'a'."""
         parts: list[str] = []
@@ -299,6 +339,177 @@ def _is_question(a: Node) -> bool:
     return "?" in text or any(w + "_" in way or w + "-" in way or w + " " in text for w in U.QUESTION_WORDS)
 
 
+# Which links of a site a crawl follows, and the classes of the page regions that it takes them from.
+@dataclass(frozen=True)
+class Guide:
+    """URL guiding: a link counts if some allow pattern occurs in it and no deny pattern, and it stands in a region (anywhere if none is named)."""
+
+    allow: tuple[str, ...] = ()
+    deny: tuple[str, ...] = ()
+    regions: tuple[str, ...] = ()
+
+    def follows(self, link: str) -> bool:
+        return (not self.allow or any(re.search(a, link) for a in self.allow)) and not any(re.search(d, link) for d in self.deny)
+
+
+_NEVER = ("login", "password", "misc", "members", "register", "contact")
+GUIDES = {
+    "dynamics": Guide(("/t/", "/p/", "/f/"), (*_NEVER, "/tags/"), ("post-name", "pager")),
+    "macrumors": Guide(("threads", "forum"), (*_NEVER, "members"), ("listBlock", "PageNav")),
+    "reddit": Guide(("/r/iphonehelp/",), (*_NEVER, "/user/", "/login"), ("entry", "nav-buttons")),
+    "spiceworks": Guide(("/topic/", "/windows"), (*_NEVER, "/people/", "/pages", "service-providers"), ("topics", "sui-pagination")),
+    "eset": Guide(("/topic/", "/forum"), (*_NEVER, "/login", "/profile"), ("ipsDataItem_main", "ipsPagination")),
+    "superuser": Guide(
+        ("superuser.com/search", "superuser.com/questions/"),
+        ("superuser.com/questions/ask", "submit", "answertab", "/users/", "superuser.com/help", "superuser.com/tags", "superuser.com/tour", "superuser.com/users"),
+        ("result-link", "pager", "question-hyperlink"),
+    ),
+}
+
+
+# Where two sites keep the parts of a question.
+@dataclass(frozen=True)
+class Site:
+    """Rules of one site: marks of its URLs, and paths (as Node.select() reads them) to the parts of a thread."""
+
+    domain: str
+    results: str
+    index: tuple[str, ...]
+    title: str
+    question: str
+    answers: str
+    tags: str
+    author: str
+    date: str
+    date_attrs: tuple[str, ...] = ()  # attributes that hold the date, in order of preference; the text if there are none
+    votes: str = ""
+    views: str = ""
+    original: str = ""
+    squeezed: bool = False  # texts lose tabs, line breaks and fixed spaces, and empty answers don't count
+    first_answer: int = 0  # which of the answers path's elements is the first answer
+    product_in_tags: bool = False
+
+
+SITES = {
+    "superuser": Site(
+        "superuser.com", "superuser.com/questions/", ("superuser.com/search", "superuser.com/questions/tagged"),
+        "#question-header > h1 > a", ".postcell .post-text", ".answercell .post-text", ".post-tag", ".owner .user-details > a", ".owner .user-action-time .relativetime",
+        votes=".vote-count-post", views="#qinfo .label-key > b", original=".question-originals-of-duplicate > ul > li > a",
+    ),
+    "macrumors": Site(
+        "macrumors.com", "threads", ("forums.macrumors.com/forums",),
+        "#content > div > div > div:2 > div > div:1 > div > h1", ".messageText", ".messageText", "#content > div > div > div:1 > nav > fieldset > span > span:3 > a > span",
+        ".username", ".messageDetails .DateTime", ("data-datestring", "title"), squeezed=True, first_answer=1, product_in_tags=True,
+    ),
+}
+
+
+def site_thread(site: Site, url: str, html: str | None, product: str | None = None) -> list[tuple]:
+    """Rows of one results page, one for each answer, as SITE_ROWS has them; none if the page has no answer or isn't about the product."""
+    body = parse_body(html)
+    if body is None or any(m in url for m in site.index) or site.results not in url:
+        return []
+    squeeze = lambda t: re.sub("[\t\n\u00a0]", "", t) if site.squeezed else t
+    texts = lambda path: [n.own() for n in body.select(path)] if path else []
+    first = lambda found: next((t for t in found if t is not None), None)
+    asked = next(body.select(site.question), None)
+    answers = [squeeze(n.raw()) for n in body.select(site.answers)][site.first_answer :]
+    answers = [a for a in answers if a] if site.squeezed else answers
+    tags = sorted({(t.lower() if site.squeezed else t) for t in texts(site.tags) if t})
+    if asked is None or not answers or site.product_in_tags and product is not None and product.lower() not in tags:
+        return []
+    dates = list(body.select(site.date))
+    date = next((v for a in site.date_attrs for n in dates[:1] if (v := n.attrs.get(a))), None) if site.date_attrs else first(n.own() for n in dates)
+    votes = [_whole(t) for t in texts(site.votes)]
+    views = texts(site.views)
+    name = first(texts(site.author))
+    original = next((n.attrs["href"] for n in body.select(site.original) if n.attrs.get("href")), None) if site.original else None
+    question = (
+        first(texts(site.title)), squeeze(asked.raw()), tags, votes[0] if votes else None, _whole(views[1].split(" ")[0]) if len(views) > 1 and views[1] else None,
+        f"{site.domain}_{name}", name, date, f"https://{site.domain}{original}" if original else None,
+    )
+    return [(site.domain, *question, k, text, votes[k + 1] if k + 1 < len(votes) else None) for k, text in enumerate(answers)]
+
+
+def _whole(text: str | None) -> int | None:
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
+SITE_ROWS = (
+    "domain string, question_title string, question_body string, question_tags array<string>, question_upvotes int, question_view_count int, author_id string, author_name string,"
+    " date string, question_original_url string, answer_number int, answer_body string, answer_upvotes int"
+)
+
+
+def site_answers(pages: DataFrame, product: str | None = None) -> DataFrame:
+    """Questions and answers of the sites that have rules (SITES), a row for each answer: page_id, source_url, the columns of SITE_ROWS with question_date for date.
+
+    pages: page_id, url, html. A page belongs to the first site whose results mark its URL has; index pages and pages
+    of other sites have no rows, nor have null pages. A date that its site's format doesn't fit is null.
+    """
+
+    columns = ["page_id", "source_url", *T.StructType.fromDDL(SITE_ROWS).names]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, url, html in frame.itertuples(index=False):
+                site = next((s for s in SITES.values() if s.domain in (url or "") and s.results in url), None)
+                rows += [(page_id, url, *row) for row in site_thread(site, url, html, product)] if site else []
+            yield pd.DataFrame(rows, columns=columns)
+
+    rows = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id bigint, source_url string, {SITE_ROWS}")
+    date = F.when(F.col("domain") == SITES["superuser"].domain, superuser_date(F.col("date"))).otherwise(macrumors_date(F.col("date")))
+    return rows.withColumn("question_date", date).drop("date")
+
+
+def site_route(url: Column) -> Column:
+    """Class of a page of a site with rules by its URL: index, results or other."""
+    marks = lambda found: reduce(Column.__or__, [F.contains(url, F.lit(m)) for m in found])
+    of = lambda s, found: F.contains(url, F.lit(s.domain)) & marks(found)
+    index = reduce(Column.__or__, [of(s, s.index) for s in SITES.values()])
+    results = reduce(Column.__or__, [of(s, (s.results,)) for s in SITES.values()])
+    return F.when(index, "index").when(results, "results").otherwise("other")
+
+
+def guided_links(pages: DataFrame, guide: Guide) -> DataFrame:
+    """Links that a guided crawl follows from each page, absolute, each once: page_id, link.
+
+    pages: page_id, url, html. Only links inside an element with a region's class count; null pages have none.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, url, html in frame.itertuples(index=False):
+                body = parse_body(html)
+                tops = [] if body is None else [body] if not guide.regions else [n for n in body.walk() if set(n.classes()) & set(guide.regions)]
+                rows += [(page_id, url, n.attrs["href"]) for top in tops for n in top.walk() if n.tag == "a" and n.attrs.get("href")]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "link"])
+
+    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, link string")
+    found = found.select("page_id", U.absolute(F.col("link"), F.col("url")).alias("link")).distinct()
+    allow = reduce(Column.__or__, [F.col("link").rlike(a) for a in guide.allow], F.lit(not guide.allow))
+    deny = reduce(Column.__or__, [F.col("link").rlike(d) for d in guide.deny], F.lit(False))
+    return found.where(allow & ~deny)
+
+
+def frontier(analysed: DataFrame, pages: DataFrame, visited: DataFrame, budget: int | None = None) -> DataFrame:
+    """The next URLs of a crawl: result and pagination links of pertinent index pages, absolute, that weren't visited: link.
+
+    analysed: as analyse() gives it; visited: url. budget is the number of pages that the crawl may still fetch: the first links in
+    their own order are kept.
+    """
+    both = F.explode(F.concat("result_links", "pagination_links")).alias("link")
+    found = analysed.where((F.col("class") == "index") & F.col("is_pertinent")).select("page_id", both).join(pages.select("page_id", "url"), "page_id")
+    links = found.select(U.absolute(F.col("link"), F.col("url")).alias("link")).distinct()
+    fresh = links.join(visited.select(F.col("url").alias("link")), "link", "left_anti")
+    return fresh if budget is None else fresh.orderBy("link").limit(budget)
+
+
 POSTS = "array<struct<date:timestamp_ntz,author:string,author_link:string,body:string>>"
 ANALYSIS = f"page_id bigint, class string, reason string, is_pertinent boolean, posts {POSTS}, result_links array<string>, pagination_links array<string>"
 

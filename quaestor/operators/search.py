@@ -59,6 +59,11 @@ def phrase(name: str, text: str) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(tokens(F.col(name)), " "), F.lit(" ")), F.lit(f" {words} "))
 
 
+def near(name: str, text: str) -> Column:
+    """A word of the field begins with some word of text."""
+    return reduce(Column.__or__, [prefix(name, w) for w in query_terms(text)], F.lit(False))
+
+
 def boosted(predicate: Column, boost: float) -> Column:
     """Score of a clause."""
     return F.when(predicate, F.lit(float(boost))).otherwise(F.lit(0.0))
@@ -74,6 +79,35 @@ def date_text(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def date_value(text: Column) -> Column:
+    """The moment of an ISO text with a final Z; null for any other text."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def product_of(question: str, products: list[str]) -> str | None:
+    """First word of a question that is a product's whole name, case aside; the driver's side of detected_product()."""
+    names = {p.lower() for p in products}
+    return next((w for w in question.lower().split() if w in names), None)
+
+
+def baseline(frame: DataFrame, question: str, products: list[str], answer: str = "answer_body", prefixes: bool = False, boosts: tuple[float, float, float] | None = None) -> Search:
+    """Any word of a question in the title or in the answer, and the product that the question names, if it names one.
+
+    With prefixes, words of the text that begin with a word of the question count too. With boosts (title,
+    answer, product) the same rows come scored by the clauses that hold; the product is then a filter all the same.
+    """
+    name = product_of(question, products)
+    held = near if prefixes else match
+    parts = held("question_title", question), held(answer, question)
+    found = Search(frame).where(or_(*[F.coalesce(p, F.lit(False)) for p in parts]))
+    if name is not None:
+        found = found.where(F.lower("product") == name)
+    if boosts:
+        sure = F.lit(name is not None)
+        found = found.query(*[boosted(F.coalesce(p, F.lit(False)), b) for p, b in zip((*parts, sure), boosts)])
+    return found
+
+
 @dataclass(frozen=True)
 class Search:
     """A query over one DataFrame; every method returns a new one. reset() is Search(frame)."""

@@ -49,6 +49,13 @@ def product_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.substring_index("value", "\t", 1)).alias("name")).where("name <> ''")
 
 
+def vocabulary(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """Words of a vocabulary file, one on a line: id (line number, from first), word. A file is read whole, as lines of parts have no numbers."""
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    rows = spark.read.text(path, wholetext=True).where("value <> ''").select(F.posexplode(lines).alias("pos", "word"))
+    return rows.select((F.col("pos") + first).alias("id"), "word")
+
+
 def vectors(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """Word vectors as text lines, of the words of a vocabulary: word, vector."""
     parts = F.split("value", " ")
@@ -61,8 +68,17 @@ def string_list(text):
     return F.transform(F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>"), lambda x: F.trim(x))
 
 
-def search_url(keyword: str, pages: int = 10, start: int = 0, base: str = "https://www.google.com/search") -> str:
-    """Address of a page of search results."""
+def search_url(keyword: str, pages: int = 10, start: int = 0, base: str = "https://www.google.com/search", language: str | None = None, place: tuple[str, str, str] | None = None) -> str:
+    """Address of a page of search results. A language also asks for results that aren't personal; place is (id, key, name in base 64)."""
     from urllib.parse import urlencode
 
-    return f"{base}?{urlencode({'q': keyword, 'num': pages, 'start': start})}"
+    parts = {"q": keyword, "num": pages, "start": start}
+    if language:
+        parts |= {"hl": language, "gl": language, "pws": 0, "as_qdr": "all"}
+    suffix = f"&tci=g:{place[0]}&uule=w+CAIQICI{place[1]}{place[2]}" if place else ""
+    return f"{base}?{urlencode(parts)}{suffix}"
+
+
+def fetched_results(status, html, mark: str):
+    """Whether a fetched page is one of search results: status 200, and a text of such pages in it."""
+    return F.coalesce((status == 200) & F.contains(html, F.lit(mark)), F.lit(False))

@@ -40,6 +40,27 @@ def qa_pairs(thread: DataFrame) -> DataFrame:
     return pairs.select("conv_id", F.col("post_number").alias("question_number"), F.col("body").alias("question_body"), "answer_body")
 
 
+#: Names that the conversations of questions() are about, in turn.
+PRODUCTS = ("outlook", "word", "ipad")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with one answer each: uid, question_title (first line), question_body, answer_body, product, question_view_count (characters of the answer)."""
+    pairs = qa_pairs(posts(spark, sf_dir))
+    name = F.element_at(F.array(*[F.lit(p) for p in PRODUCTS]), (F.pmod("conv_id", F.lit(len(PRODUCTS))) + 1).cast("int"))
+    return pairs.select(
+        F.concat_ws("_", "conv_id", "question_number").alias("uid"), F.substring_index("question_body", "\n", 1).alias("question_title"), "question_body", "answer_body",
+        name.alias("product"), F.length("answer_body").alias("question_view_count"),
+    )
+
+
+def equal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between documents of equal text (a, b): each one and the first of its text. Texts are known by their digests."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    first = own.groupBy("sha").agg(F.min("doc_id").alias("b"))
+    return own.join(first, "sha").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Registers the tables and the views docs, accepted and posts for spark.sql()."""
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
