@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quaestor.functions import dates as D
 from quaestor.functions import text as X
 from quaestor.functions import urls as U
-from quaestor.operators import dataset, evaluate, models, pages, rank, search
+from quaestor.operators import dataset, evaluate, index, models, pages, rank, search
 from quaestor.operators.search import Search, and_, boosted, from_, from_to, match, or_, phrase, prefix, to_
+from quaestor.plans.stem_sql import stem_ctes
 from quaestor.sources import views
 from quaestor.sources.views import docs, table
 
@@ -124,7 +125,11 @@ def clean_text_length(spark, sf_dir):
     return clean.select("uid", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("length"))
 
 
-# Index and ranking.
+# Index and ranking. The rankers read the index of the documents, which the first of them builds.
+
+
+def indexed(spark, sf_dir, analyser="plain"):
+    return index.of(docs(spark, sf_dir), analyser)
 
 
 @query(f"{WITH}, {POSTINGS} select * from postings")
@@ -132,7 +137,8 @@ def postings_plain(spark, sf_dir):
     return rank.postings(docs(spark, sf_dir))
 
 
-@query()
+@query(f"""{WITH}, {POSTINGS}, {stem_ctes("postings")}
+  select uid, zone, stem as word, sum(freq)::bigint as freq from postings join stems using (word) group by uid, zone, stem""")
 def postings_stemmed(spark, sf_dir):
     return rank.stemmed_postings(docs(spark, sf_dir))
 
@@ -153,12 +159,12 @@ def _tfidf_sql(df: str) -> str:
 
 @query(_tfidf_sql("1"))
 def tfidf_topk(spark, sf_dir):
-    return rank.top_k(rank.tfidf(docs(spark, sf_dir), QUESTION), TOP)
+    return rank.top_k(rank.tfidf(indexed(spark, sf_dir), QUESTION), TOP)
 
 
 @query(_tfidf_sql("d.df"))
 def tfidf_topk_df(spark, sf_dir):
-    return rank.top_k(rank.tfidf(docs(spark, sf_dir), QUESTION, document_frequency=True), TOP)
+    return rank.top_k(rank.tfidf(indexed(spark, sf_dir), QUESTION, document_frequency=True), TOP)
 
 
 BM25 = f"""sizes as (select uid, 'title' as zone, len(title) as size from words union all select uid, 'body', len(body) from words),
@@ -186,28 +192,28 @@ COMBINED = "combined as (select wrank.uid, round(1.0 * coalesce(arank.score, 0.0
 
 @query(f"{WITH}, {POSTINGS}, {ASKED}, {WORD_RANK} select * from wrank")
 def word_rank(spark, sf_dir):
-    return rank.word_rank(docs(spark, sf_dir), QUESTION)
+    return rank.word_rank(indexed(spark, sf_dir), QUESTION)
 
 
 @query(f"with {DOCS}, {AUTHOR_RANK} select * from arank")
 def author_rank(spark, sf_dir):
-    return rank.author_rank(docs(spark, sf_dir))
+    return rank.author_rank(indexed(spark, sf_dir))
 
 
 @query(f"{WITH}, {POSTINGS}, {ASKED}, {WORD_RANK}, {AUTHOR_RANK}, {COMBINED} select * from combined order by score desc, uid desc limit {TOP}")
 def combined_rank_topk(spark, sf_dir):
-    return rank.top_k(rank.combined_rank(docs(spark, sf_dir), QUESTION), TOP)
+    return rank.top_k(rank.combined_rank(indexed(spark, sf_dir), QUESTION), TOP)
 
 
 @query(f"{WITH}, {POSTINGS}, {ASKED}, {BM25} select * from bm25 order by score desc, uid desc limit {TOP}")
 def bm25_topk(spark, sf_dir):
-    return rank.top_k(rank.bm25(docs(spark, sf_dir), QUESTION), TOP)
+    return rank.top_k(rank.bm25(indexed(spark, sf_dir), QUESTION), TOP)
 
 
 @query(f"""{WITH}, {POSTINGS}, {ASKED}, {BM25}, boosted as (select bm25.uid, round(bm25.score * question_view_count, 6) as score from bm25 join docs using (uid))
   select * from boosted order by score desc, uid desc limit {TOP}""")
 def keyword_rank_by_field(spark, sf_dir):
-    return rank.top_k(rank.keyword_rank(docs(spark, sf_dir), QUESTION, "question_view_count"), TOP)
+    return rank.top_k(rank.keyword_rank(docs(spark, sf_dir), QUESTION, "question_view_count", indexed(spark, sf_dir)), TOP)
 
 
 TFIDF = f"""n as (select count(*)::double as total from docs),
@@ -222,7 +228,7 @@ FAN = f"""{WITH}, {POSTINGS}, {ASKED}, {BM25}, {TFIDF}, {WORD_RANK}, {AUTHOR_RAN
 
 @query(f"{FAN} select model, rank::int as rank, lists.uid, score, question_title from lists join docs using (uid)")
 def three_ranker_fanout(spark, sf_dir):
-    return rank.fan_out(docs(spark, sf_dir), QUESTION, TOP)
+    return rank.fan_out(docs(spark, sf_dir), QUESTION, TOP, indexed(spark, sf_dir))
 
 
 @query("""with p as (select p_partkey, string_split(p_name, ' ') as words from part),
@@ -366,7 +372,9 @@ def crawl_stats(spark, sf_dir):
 
 @query("select min(doc_id) as doc_id, md5(text) as text_md5, count(*) as copies from documents group by text")
 def dedup_keep_first(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", F.md5("text").alias("text_md5"), "copies")
+    # Texts are known by their digests, so none is shuffled.
+    digests = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md5"))
+    return digests.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("md5").alias("text_md5"), F.count(F.lit(1)).alias("copies")).drop("sha")
 
 
 @query("""with u as (select distinct regexp_replace(url, '[?#].*$', '') as url from pages),
@@ -382,9 +390,7 @@ def url_dedup(spark, sf_dir):
   r(uid, class_uid) as (select x, x from e union select e.y, r.class_uid from r join e on e.x = r.uid)
   select uid, min(class_uid) as class_uid from r group by uid""")
 def duplicate_closure(spark, sf_dir):
-    order = Window.partitionBy("text").orderBy("doc_id")
-    links = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), F.lead("doc_id").over(order).alias("b")).where("b is not null")
-    return evaluate.duplicate_closure(links)
+    return evaluate.duplicate_closure(views.equal_texts(spark, sf_dir))
 
 
 # Training sets.
@@ -473,7 +479,7 @@ PREDICTED = "predictions as (select model, 'q' as query_uid, rank, uid from list
 
 def _evaluated(spark, sf_dir):
     wanted = docs(spark, sf_dir).where("uid % 7 = 0").select(F.lit("q").alias("query_uid"), "uid")
-    lists = rank.fan_out(docs(spark, sf_dir), QUESTION, TOP).select("model", F.lit("q").alias("query_uid"), "rank", "uid")
+    lists = rank.fan_out(docs(spark, sf_dir), QUESTION, TOP, indexed(spark, sf_dir)).select("model", F.lit("q").alias("query_uid"), "rank", "uid")
     return wanted, lists
 
 
@@ -521,7 +527,7 @@ def parse_completeness(spark, sf_dir):
   c as (select coalesce(arank.score, 0.0) as a, wrank.score as w from wrank left join arank using (uid) where wrank.uid % 7 = 0)
   select coeff_author, coeff_word, round(sum(coeff_author * a + coeff_word * w), 6) as total from c, g group by coeff_author, coeff_word""")
 def coefficient_grid(spark, sf_dir):
-    own = docs(spark, sf_dir)
+    own = indexed(spark, sf_dir)
     word, author = rank.word_rank(own, QUESTION).withColumnRenamed("score", "w"), rank.author_rank(own).withColumnRenamed("score", "a")
     components = word.join(author, "uid", "left").where("uid % 7 = 0").select(F.coalesce("a", F.lit(0.0)).alias("a"), "w")
     axis = spark.range(3).select(F.col("id").cast("double").alias("x"))
@@ -532,3 +538,7 @@ def coefficient_grid(spark, sf_dir):
 @query(f"""with {DOCS} select question_title as context, question_body as utterance, uid from docs order by md5('3:' || uid), uid limit 25""".replace("md5('3:' || uid)", "cast(('0x' || substr(md5('3:' || uid), 1, 7)) as bigint)"))
 def shuffled_pairs_head(spark, sf_dir):
     return dataset.shuffled(dataset.pairs(docs(spark, sf_dir))).limit(25)
+
+
+# The rest of the queries stands in modules of its own, which use what is defined above.
+from quaestor.plans import encoder, forum, retrieval  # noqa: E402, F401
