@@ -9,10 +9,18 @@ follow edit similarity. Texts that share a sketch are candidates; a banded align
 Classes are the connected components of verified pairs. A bucket is led by its most central text, the
 one that shares most sketches. First each text is aligned with its most central leader, which joins
 most of a group of copies with one comparison a text. The texts that a leader led to, and that aren't
-in its class, then meet all its texts in blocks: shingles in common are counted exactly, on bits for
+in its class, then meet all its texts in a block: shingles in common are counted exactly, on bits for
 the leader's shingles and by sorted search for others, and only pairs of different classes that share
 enough are aligned. So every pair of a bucket is in one class, or aligned, or known to share too few
 shingles; no pair is written but the verified ones.
+
+A group too large for a block is refined first. Against its leader L each text x has a difference: the
+shingles that only one of the two has. Two texts are as far apart as their differences are, so a text that
+is far from L can only be near one whose difference shares a shingle with its own, and the further it is, the
+more of them. Each text therefore names the first shingles of its difference, as many as make sure
+that near pairs name one in common, and the texts that name one shingle are a group of their own. This is
+repeated with the new groups' own leaders until groups fit a block; a group that no longer shrinks is
+met in several blocks. A common part of many pages is in their leader, too, and so brings no two together.
 """
 
 from __future__ import annotations
@@ -40,8 +48,9 @@ ORDER = 4
 SHORT, SHORT_ORDER = 20, 2
 SEED = 99
 BLOCK = 1 << 20
-#: Bytes of word hashes of one side of a block in which a leader's texts meet.
-MEET_BYTES = 4 << 20
+#: Bytes of word hashes of one side of a block in which a group's texts meet; a text counts as TEXT_BYTES at least.
+MEET_BYTES = 8 << 20
+TEXT_BYTES = 8 << 10
 _PLACE_BITS = 24
 
 
@@ -224,21 +233,20 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (sha, words as 32-bit hashes); a task sends each text once."""
+    """(text) to (sha, words as 64-bit hashes); a task sends each text once."""
     seen: set[bytes] = set()
     for batch in batches:
         data, offsets = byte_view(batch.column(0))
         for i, j in spans_of(offsets, BLOCK):
             own = offsets[i : j + 1]
             _, _, _, words, first = words_of(data, own)
-            narrow = (words >> U64(32)).astype("<u4")
             shas, rows = [], []
             for k, (a, b) in enumerate(zip(own[:-1].tolist(), own[1:].tolist())):
                 name = hashlib.sha256(data[a:b]).digest()
                 if name not in seen:
                     seen.add(name)
                     shas.append(name)
-                    rows.append(narrow[first[k] : first[k + 1]].tobytes())
+                    rows.append(words[first[k] : first[k + 1]].astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), pa.array(rows, pa.binary())], names=["sha", "words"])
 
 
@@ -250,7 +258,7 @@ def _verified(threshold: float):
             good = []
             known, name = None, None
             for k in range(batch.num_rows):
-                x, y = np.frombuffer(left[k].as_buffer(), "<u4"), np.frombuffer(right[k].as_buffer(), "<u4")
+                x, y = np.frombuffer(left[k].as_buffer(), "<u8"), np.frombuffer(right[k].as_buffer(), "<u8")
                 if min(len(x), len(y)) < threshold * max(len(x), len(y)) - SHINGLE:
                     good.append(False)
                     continue
@@ -266,7 +274,7 @@ def _meet(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Verified pairs of one block: texts outside the leader's class (side 1) with any of the leader's texts (side 2)."""
         roles = frame["side"].to_numpy()
-        words = [np.frombuffer(w, "<u4") for w in frame["words"]]
+        words = [np.frombuffer(w, "<u8") for w in frame["words"]]
         seqs = [_shingle_ids(w) for w in words]
         sets = [np.sort(labelled(s, np.array([0, len(s)]))) for s in seqs]
         uid, root = frame["uid"].to_numpy(), frame["root"].to_numpy()
@@ -311,6 +319,51 @@ def _meet(threshold: float):
     return run
 
 
+def _difference_rows(threshold: float):
+    """(group, uid, leader, far, words, words of the leader) to (group, uid, tokens): what each text names of its difference to the leader.
+
+    With K = (1 - t) / (1 + t) texts x and y are near as sets if they differ in K (|x| + |y|) shingles at most. If x differs from
+    the leader L in d > K (|x| + |L|), the differences of x and of a near y share a shingle, and at least d - K (|x| + |y|), where
+    |y| is |x| / t at most. If y itself is near L, they share more than (d_y + K (|L| - |y|)) / 2. So the first d - (what is
+    shared at least) + 1 shingles of a difference, in one order for all, hold one that both name. A text of another
+    class that is near L as a set, only in another order, names all, and the token 0 besides, as all texts do that are near L.
+    """
+    narrow = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, name = np.zeros(0, U64), None
+        for batch in batches:
+            leader, far = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows = []
+            for k in range(batch.num_rows):
+                if name != leader[k]:
+                    lead, name = _shingle_set(batch.column(5)[k]), leader[k]
+                own = _shingle_set(batch.column(4)[k])
+                # Shingles of its own first: those that it lacks are more often others' lack, too.
+                more, less = np.setdiff1d(own, lead, True), np.setdiff1d(lead, own, True)
+                tokens = np.concatenate([more, mixed(less ^ U64(0x9E3779B97F4A7C15))])
+                d = len(tokens)
+                if d > narrow * (len(own) + len(lead)) + 1e-9:
+                    shared, near = int(np.ceil(d - narrow * (1 + 1 / threshold) * len(own) - 1e-9)), False
+                elif far[k]:
+                    shared, near = 1, True
+                else:
+                    shared, near = int(np.floor((d + narrow * (len(lead) - len(own))) / 2 - 1e-9)) + 1, True
+                tokens = tokens[: max(d - max(shared, 1) + 1, 0)]
+                rows.append(np.append(tokens, U64(0)) if near else tokens)
+            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            values = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))], names=["group", "uid", "tokens"])
+
+    return run
+
+
+def _shingle_set(words) -> np.ndarray:
+    """Sorted shingles of a text's words, repeated ones by occurrence."""
+    ids = _shingle_ids(np.frombuffer(words.as_buffer(), "<u8"))
+    return np.sort(labelled(ids, np.array([0, len(ids)])))
+
+
 def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Distinct texts in candidate buckets (uid, sha), and the components of verified pairs (node, root)."""
     sketched = docs.select("text").mapInArrow(trimmed(_sketch_rows), "sha binary, sketch array<bigint>")
@@ -338,25 +391,73 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFram
     roots = connected_components(links)
 
     # Then a leader's texts outside its class with all its texts.
-    known = live.select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
-    known = written(known.join(words.select("uid", F.octet_length("words").cast("long").alias("size")), "uid"), "known")
-    lead = known.select(F.col("uid").alias("leader"), F.col("root").alias("leader_root"))
-    placed = written(led.select("uid", "leader").join(known, "uid").join(lead, "leader"), "placed")
+    known = live.select("uid", "central").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "central", F.coalesce("root", "uid").alias("root"))
+    weight = F.greatest(F.octet_length("words").cast("long"), F.lit(TEXT_BYTES))
+    known = written(known.join(words.select("uid", weight.alias("weight")), "uid"), "known")
+    groups = led.select(F.col("leader").alias("group"), "leader", "uid").join(known, "uid")
+    met = _all_met(groups, known, words, threshold)
+    if not met.isEmpty():
+        roots = connected_components(links.unionByName(met))
+    return live, roots
+
+
+def _all_met(groups: DataFrame, known: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs (a, b) of different classes among the texts of each group.
+
+    groups: group, leader, uid, central, root, weight. Of pairs that would join the same two classes in a block one is enough.
+    """
+    pairs, size = None, None
+    while True:
+        own = known.select(F.col("uid").alias("leader"), F.col("root").alias("leader_root"))
+        placed = written(groups.join(own, "leader"), "placed")
+        outside = F.col("root") != F.col("leader_root")
+        sums = placed.groupBy("group", "leader").agg(F.sum(F.when(outside, F.col("weight"))).alias("out"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n"))
+        sums = sums.where(F.col("out").isNotNull()).select("group", "leader", "n", *[F.ceil(F.col(c) / MEET_BYTES).cast("int").alias(f"n_{c}") for c in ("out", "all")])
+        # A group that its parent's leader didn't part is met as it is.
+        large = F.col("n_all") > 1 if size is None else (F.col("n_all") > 1) & (F.col("n") * 2 <= F.col("parent"))
+        sums = written(sums if size is None else sums.join(size, "group"), "group_sizes")
+        found = written(_meetings(placed, sums.where(~large), words, threshold), "met")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        large = sums.where(large)
+        if large.isEmpty():
+            return pairs
+        groups, size = _parted(placed.join(large.select("group", "n"), "group"), words, threshold)
+
+
+def _meetings(placed: DataFrame, sums: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Texts outside the leader's class (side 1) and all texts (side 2) of each group, in blocks of both."""
+    open_ = placed.join(sums.drop("leader"), "group")
     outside = F.col("root") != F.col("leader_root")
-    sums = placed.groupBy("leader").agg(F.sum(F.when(outside, F.col("size"))).alias("out"), F.sum("size").alias("all"))
-    sums = sums.where(F.col("out").isNotNull()).select("leader", *[F.ceil((F.col(c) + 1) / MEET_BYTES).cast("int").alias(f"n_{c}") for c in ("out", "all")])
-    open_ = placed.join(sums, "leader")
     own = F.pmod(F.xxhash64("uid"), F.col("n_out")).cast("int"), F.pmod(F.xxhash64("uid"), F.col("n_all")).cast("int")
     rest = F.sequence(F.lit(0), F.col("n_all") - 1), F.sequence(F.lit(0), F.col("n_out") - 1)
-    first = open_.where(outside).select("leader", "uid", "root", F.lit(1).alias("side"), own[0].alias("i"), F.explode(rest[0]).alias("j"))
-    second = open_.select("leader", "uid", "root", F.lit(2).alias("side"), F.explode(rest[1]).alias("i"), own[1].alias("j"))
-    heads = sums.select("leader", F.col("leader").alias("uid"), F.lit(-1).cast("long").alias("root"), F.lit(0).alias("side"), F.explode(rest[1]).alias("i"), "n_all")
-    heads = heads.select("leader", "uid", "root", "side", "i", F.explode(rest[0]).alias("j"))
+    first = open_.where(outside).select("group", "uid", "root", F.lit(1).alias("side"), own[0].alias("i"), F.explode(rest[0]).alias("j"))
+    second = open_.select("group", "uid", "root", F.lit(2).alias("side"), F.explode(rest[1]).alias("i"), own[1].alias("j"))
+    heads = sums.select("group", F.col("leader").alias("uid"), F.lit(-1).cast("long").alias("root"), F.lit(0).alias("side"), F.explode(rest[1]).alias("i"), "n_all")
+    heads = heads.select("group", "uid", "root", "side", "i", F.explode(rest[0]).alias("j"))
     blocks = first.unionByName(second).unionByName(heads).join(words, "uid")
-    more = written(blocks.groupBy("leader", "i", "j").applyInPandas(_meet(threshold), "a bigint, b bigint"), "verified")
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
-    return live, roots
+    return blocks.groupBy("group", "i", "j").applyInPandas(_meet(threshold), "a bigint, b bigint")
+
+
+def _parted(placed: DataFrame, words: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Groups of the texts that name a shingle in common, and of each the size of the group that it comes from (group, parent).
+
+    Groups of one class, or of the same texts as another of their parent, are left out. The leader is the most central text.
+    """
+    sides = placed.join(words.select("uid", F.col("words").alias("x")), "uid").join(words.select(F.col("uid").alias("leader"), F.col("words").alias("y")), "leader")
+    far = F.col("root") != F.col("leader_root")
+    named = sides.select("group", "uid", "leader", far.alias("far"), "x", "y").mapInArrow(trimmed(_difference_rows(threshold)), "group bigint, uid bigint, tokens array<bigint>")
+    named = named.select("group", "uid", F.explode("tokens").alias("token"))
+    members = written(named.join(placed.select("group", "uid", "central", "root", "weight", "n"), ["group", "uid"]), "named")
+    same = F.sum(F.xxhash64("uid").cast("decimal(38,0)"))
+    buckets = members.groupBy("group", "token").agg(
+        F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"), same.alias("same"), F.max(F.struct("central", (-F.col("uid")).alias("minus"))).alias("top"), F.first("n").alias("parent")
+    )
+    buckets = buckets.where("many > 1 and low <> high")
+    buckets = buckets.groupBy("group", "many", "same").agg(F.min_by(F.struct("token", "top", "parent"), "token").alias("x"))
+    buckets = buckets.select("group", "x.token", (-F.col("x.top.minus")).alias("leader"), "x.parent", F.xxhash64("group", "x.token").alias("next"))
+    buckets = written(buckets, "parted")
+    groups = members.drop("n").join(buckets.drop("parent"), ["group", "token"]).select(F.col("next").alias("group"), "leader", "uid", "central", "root", "weight")
+    return groups, buckets.select(F.col("next").alias("group"), "parent")
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -387,7 +488,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> D
     """One row of each class stays: the one with the smallest doc_id (null last). The columns are those of docs."""
     classes = near_classes(docs, threshold)
     columns = docs.columns
-    keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), text_key().alias("sha"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("sha"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("sha"))
     narrow = docs.select(F.col("doc_id").alias("id"), text_key().alias("sha")).join(classes, "sha", "left")
     best = narrow.groupBy(F.coalesce("class_sha", "sha").alias("c")).agg(F.min(rank).alias("best"))

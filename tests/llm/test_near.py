@@ -156,6 +156,60 @@ def test_classes_equal_brute_force(spark):
     assert sorted(ids) == sorted({c for _, c, _ in brute_classes(small)} | {600})
 
 
+def crowd():
+    """One bucket of many texts that are no near copies of each other: a long common part, and edits all over."""
+    rng = np.random.default_rng(11)
+    base = random_text(rng, 90)
+    rows = [base] + [edited(rng, base, int(rng.integers(1, 9))) for _ in range(70)]
+    page = random_text(rng, 50)
+    rows += [f"{page} {random_text(rng, int(rng.integers(8, 25)))}" for _ in range(40)]
+    # Texts of the same parts in another order, some of them near each other.
+    parts = [random_text(rng, 14) for _ in range(6)]
+    for _ in range(12):
+        text = " ".join(parts[k] for k in rng.permutation(6))
+        rows += [text, edited(rng, text, 1)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("meet_bytes", [1 << 12, 3 << 12])
+def test_groups_larger_than_a_block(spark, monkeypatch, meet_bytes):
+    monkeypatch.setattr(N, "MEET_BYTES", meet_bytes)
+    monkeypatch.setattr(N, "TEXT_BYTES", 256)
+    rows = crowd()
+    sizes, parted = [], N._parted
+    monkeypatch.setattr(N, "_parted", lambda *x: sizes.append(1) or parted(*x))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in N.near_duplicates(df).collect()]
+    assert sorted(got) == sorted(brute_classes(rows)) and sizes
+
+
+def test_near_pairs_name_a_difference_in_common():
+    """Every near pair of a group, of different classes, names a common shingle, whatever text leads."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    pairs = 0
+    for trial in range(12):
+        texts = [t for _, t in crowd()[: 71 + 40 * (trial % 2)]]
+        texts = [texts[k] for k in rng.choice(len(texts), 40, replace=False)]
+        words = []
+        for t in texts:
+            words.append(words_of(*view([t]))[3].astype("<u8").tobytes())
+        seqs = [shingles(t) for t in texts]
+        lead = int(rng.integers(len(texts)))
+        far = [plain_similarity(s, seqs[lead]) < N.SIMILARITY for s in seqs]
+        n = len(texts)
+        columns = [pa.array([1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([lead] * n, pa.int64()), pa.array(far), pa.array(words, pa.binary()), pa.array([words[lead]] * n, pa.binary())]
+        batch = pa.RecordBatch.from_arrays(columns, names=list("guLfxy"))
+        named = [set(x) for x in next(N._difference_rows(N.SIMILARITY)(iter([batch]))).column(2).to_pylist()]
+        for i in range(n):
+            for j in range(i):
+                if (far[i] or far[j]) and plain_similarity(seqs[i], seqs[j]) >= N.SIMILARITY:
+                    pairs += 1
+                    assert named[i] & named[j]
+    assert pairs > 20
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7)]
