@@ -6,9 +6,9 @@ Arrow string columns, so that Python operators work on bytes without making obje
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.sources.shared import BROADCAST_BYTES, new_path
+
 U64 = np.uint64
 WRAP = 1 << 64
 #: Odd multiplier of the polynomial hashes; its inverse modulo 2**64 exists.
@@ -25,20 +27,6 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, WRAP)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir. Where that is unset (local tests), a temporary
-    folder is made once and kept in the session's settings.
-    """
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.conf.get("spark.quaestor.sharedDir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quaestor-")
-        spark.conf.set("spark.quaestor.sharedDir", found)
-    return found.rstrip("/")
-
-
 #: Bytes of an Arrow batch that written() sends to a Python worker, about; long rows make small batches.
 BATCH_BYTES = 16 << 20
 
@@ -58,7 +46,7 @@ def bounded_batches(spark: SparkSession):
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: lineage is cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with bounded_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -82,10 +70,6 @@ def trimmed(run):
     return wrapper
 
 
-#: Bytes of a table (as JSON) up to which it is broadcast.
-BROADCAST_BYTES = 8 << 20
-
-
 def measured(table: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A table written and measured: marked for broadcast if it is small, else left for a shuffled join."""
     table = written(table, name)
@@ -96,16 +80,24 @@ def measured(table: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataF
 def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     """Like written(), in buckets of a key, so that joins on the key need no exchange of this side.
 
-    df must come dealt by repartition(buckets, key), so that each task writes one bucket.
+    df must come dealt by repartition(buckets, key), so that each task writes one bucket. The table's entry in the
+    catalog goes when the driver ends, as its files do.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{table}"
+    path = new_path(spark, table)
     with bounded_batches(spark):
         df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(table)
+    atexit.register(_forget, spark, table)
     return spark.table(table)
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    if spark.getActiveSession() is not None and spark.sparkContext._jsc is not None:
+        with suppress(Exception):  # the session may be ending, too
+            spark.sql(f"drop table if exists {table}")
+
+
 def text_key(column: str = "text"):
     """Binary SHA-256 of a text; null counts as empty. Operators key distinct texts by it."""
     return F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))

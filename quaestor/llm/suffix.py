@@ -8,7 +8,8 @@
    (Larsson-Sadakane refinement: 8-byte keys, then doubling on the unresolved groups only) and
    common prefixes by Kasai's rule (a neighbour pair that both moved on by one loses one). A window
    repeats if it shares L bytes with a neighbour in the suffix array.
-3. Merging. An anchor with very many contexts is cut into slices. A slice hands on the sorted
+3. Merging. An anchor with very many contexts is cut into slices. A context itself is cut where it gets very long
+   (a run of one character is all one context), so that a slice is bounded in bytes, too. A slice hands on the sorted
    digests of its distinct windows; slices are merged by binary search of one sorted run in the
    other, and windows of two slices repeat.
 
@@ -33,6 +34,9 @@ from quaestor.llm.exact import window_hashes
 LENGTH = 200
 #: Bytes of an anchor; a power of two below LENGTH.
 ANCHOR = 64
+#: Windows of a context at most: longer ones (a run of blanks, a ruler) are cut, and count by UNIT windows.
+CONTEXT = 1 << 16
+UNIT = 256
 #: Contexts of one anchor in a slice, about.
 SLICE = 4_096
 #: Bytes of contexts in one suffix array, about.
@@ -46,10 +50,11 @@ _SEPARATOR = 255  # no byte of UTF-8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width: int = ANCHOR):
+def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, width: int = ANCHOR, longest: int = CONTEXT):
     """Contexts of a run of texts: anchor hash, text number, first window (in the text), number of windows, number of anchors.
 
-    A run of texts above 2**22 bytes (one very long text) is done in overlapping pieces.
+    A run of texts above 2**22 bytes (one very long text) is done in overlapping pieces. A context has at most longest
+    windows; where it is cut, the number of anchors may count one twice.
     """
     at = offsets - offsets[0]
     raw = data[offsets[0] : offsets[-1]]
@@ -72,6 +77,10 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, wid
     new[1:] = (own[1:] != own[:-1]) | (np.diff(windows) != 1) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     runs = np.diff(np.append(first, len(windows)))
+    if runs.max() > longest:
+        new[np.concatenate([np.arange(a, a + n, longest) for a, n in zip(first.tolist(), runs.tolist()) if n > longest])] = True
+        first = np.flatnonzero(new)
+        runs = np.diff(np.append(first, len(windows)))
     moved = np.ones(len(windows), np.int64)
     moved[1:] = new[1:] | (place[windows[1:]] != place[windows[:-1]])
     return own[first], text[first], windows[first] - at[text[first]], runs, np.add.reduceat(moved, first)
@@ -399,7 +408,8 @@ def repeated_ranges(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame
     texts = bucketed(once.repartition(buckets, "sha").groupBy("sha").agg(F.max("text").alias("text"), F.sum("copies").alias("copies")), "texts", buckets, "sha")
     anchors = texts.select("sha", "text").mapInArrow(trimmed(_anchor_rows), "sha binary, h array<bigint>, start array<int>, windows array<int>, anchors array<int>")
     anchors = written(anchors.where(F.size("h") > 0).withColumn("uid", F.monotonically_increasing_id()), "anchors")
-    counted = anchors.select(F.inline(F.arrays_zip("h", "anchors"))).groupBy("h").agg(F.sum("anchors").alias("places"), F.count(F.lit(1)).alias("n"))
+    units = F.ceil(F.col("windows") / UNIT).cast("long")
+    counted = anchors.select(F.inline(F.arrays_zip("h", "windows", "anchors"))).groupBy("h").agg(F.sum("anchors").alias("places"), F.sum(units).alias("n"))
     live = counted.where("places > 1").select("h", "n")
     places = anchors.select("uid", F.inline(F.arrays_zip("h", "start", "windows")))
     listed = places.join(live, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "start", "windows", "n")).alias("live"))

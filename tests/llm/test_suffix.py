@@ -91,5 +91,27 @@ def test_pieces_of_a_very_long_text(monkeypatch):
     assert windows(whole) == windows(pieces) == {(t, k) for t, n in ((0, 4000), (2, 4900)) for k in range(n - S.LENGTH + 1)}
 
 
+def test_contexts_are_cut():
+    data = np.frombuffer(b"x" * 5000 + b"ab" * 2500 + bytes(97 + (i * i * 7 + i // 3) % 26 for i in range(3000)), np.uint8)
+    offsets = np.array([0, 5000, 10_000, 13_000], np.int64)
+    h, text, start, runs, anchors = S.contexts_of(data, offsets, longest=700)
+    assert runs.max() == 700
+    places = sorted((t, s + k) for t, s, r in zip(text.tolist(), start.tolist(), runs.tolist()) for k in range(r))
+    assert places == [(t, k) for t, n in ((0, 5000), (1, 5000), (2, 3000)) for k in range(n - S.LENGTH + 1)]
+    assert np.array_equal(np.sort(np.unique(h)), np.sort(np.unique(S.contexts_of(data, offsets)[0])))
+
+
+@pytest.mark.parametrize("slice_size", [S.SLICE, 300])
+def test_periodic_texts(spark, slice_size):
+    """Runs of one character, of two, and of a hundred bytes, beyond a context's bound, in texts of their own and inside others."""
+    rng = np.random.default_rng(6)
+    period = "".join(rng.choice(list("abcdefgh"), 100))
+    own = "".join(rng.choice(list("mnopqrst"), 400))
+    rows = [" " * 200_000, "=-" * 80_000, period * 1500, own + " " * 70_000 + own[:150], "é" * 70_000, own[:199] + "=-" * 300]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in S.dedup_substrings(df, slice_size).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows)
+
+
 def test_empty_table(spark):
     assert S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
