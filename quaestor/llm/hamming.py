@@ -6,8 +6,9 @@ m (r + 1) - 1 have been seen; a query is done when its k-th verified neighbour l
 
 Equal codes are one entry with their smallest ids; equal query codes are searched once. A segment's
 entries are dealt to blocks by the segment's first bits, and a query goes only to blocks whose bits
-are near enough; a full block is cut by a hash of the code, and queries come in chunks, so a task holds
-a bounded number of either.
+are near enough; a full block is cut by a hash of the code, and many queries of one block come in chunks, so a
+task holds a bounded number of either. Of the index a round reads the blocks that queries go to, once for each
+chunk of such a block and not for each chunk of all queries.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import written
 
 BITS = 64
-#: Entries of a block, and query codes of a chunk, about.
+#: Entries of a block, and query codes of a chunk of one block, about.
 BLOCK = 16_384
 CHUNK = 65_536
 #: Neighbours that the registered query asks for.
@@ -32,8 +33,13 @@ TOP = 10
 _SALTS = 16
 
 
-def sign_code(vector: Column) -> Column:
-    """Code of a vector: bit i tells whether component i is above 0. Components beyond 64 don't count; null gives null."""
+def sign_code(vector: Column, strict: bool = False) -> Column:
+    """Code of a vector: bit i tells whether component i is above 0 (NaN is, as SQL orders it); null gives null.
+
+    A code has 64 bits. Components beyond don't count, or are an error if strict.
+    """
+    if strict:
+        vector = F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a code has {BITS} bits: the vector is longer"))).otherwise(vector)
     return F.aggregate(F.slice(vector, 1, BITS), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 
 
@@ -111,12 +117,10 @@ def exact_top_k(codes: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame
     entries = written(some.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     n = entries.count()
     state = written(wanted.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "open_queries")
-    n_queries = state.count()
-    if not n or not n_queries:
+    if not n or state.isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank bigint, id bigint, distance bigint")
     segments = segments_of(n)
     lead = min(max(0, ceil(log2(n / BLOCK))), min(w for _, w in segments) - 1) if n > BLOCK else 0
-    chunks = ceil(n_queries / CHUNK)
 
     def prefix(code: Column, seg: int) -> Column:
         shift, width = segments[seg]
@@ -127,7 +131,7 @@ def exact_top_k(codes: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame
     blocks = placed.groupBy("seg", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("salts"))
     blocks = written(blocks, "blocks")
     index = placed.join(blocks, ["seg", "block"]).withColumn("salt", F.pmod(F.xxhash64("code"), F.col("salts")).cast("int")).drop("salts")
-    index = written(index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), "index")
+    index = written(index, "index")
     search = _searcher(segments, lead, k + 1)
     best = None
     found_schema = "q bigint, code bigint, distance int, least bigint, n int"
@@ -138,9 +142,13 @@ def exact_top_k(codes: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame
         probes = state.select("q", "bound", own.alias("o")).select("q", "bound", "o.seg", "o.block", F.explode(hops).alias("hop"))
         probes = probes.select("q", "bound", "seg", F.col("block").bitwiseXOR(F.col("hop.x")).alias("block"), F.col("hop.radius").alias("radius"))
         probes = probes.join(blocks, ["seg", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        probes = probes.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int"))
-        key = ["seg", "block", "salt", "chunk"]
-        found = probes.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(search, found_schema)
+        probes = written(probes, "probes")
+        part = ["seg", "block", "salt"]
+        asked = probes.groupBy(*part).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+        probes = probes.join(asked, part).withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int")).drop("chunks")
+        own = index.join(asked, part).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        key = [*part, "chunk"]
+        found = probes.groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(search, found_schema)
         found = found.dropDuplicates(["q", "code"]) if best is None else found.unionByName(best).dropDuplicates(["q", "code"])
         order = Window.partitionBy("q").orderBy("distance", "least")
         best = written(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"), "best")

@@ -32,7 +32,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest codes of every fiftieth embedding, among all."""
-    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding"), strict=True).alias("code"))
     return exact_top_k(codes, codes.where(F.col("id") % 50 == 0))
 
 

@@ -48,6 +48,13 @@ def test_sign_codes(spark):
     assert (got[0], got[1], got[2], got[3], got[4]) == (0b1001, 0, None, -1, -1)
 
 
+def test_strict_sign_codes(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, None), (3, [0.0, float("nan")])], "id long, v array<float>")
+    assert [r.c for r in df.select(H.sign_code(H.F.col("v"), strict=True).alias("c")).collect()] == [-1, None, 1]
+    with pytest.raises(Exception, match="a code has 64 bits"):
+        spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<float>").select(H.sign_code(H.F.col("v"), strict=True)).collect()
+
+
 def test_segments_cover_the_code():
     for n in (1, 2, 500, 10_000, 10**6, 10**9):
         parts = H.segments_of(n)
