@@ -11,7 +11,7 @@ URLs that a rule decides, which the trees carry over to the URLs that no rule fi
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,10 @@ MAX_ROWS = 20_000
 TREES, DEPTH, RATE, BINS = 12, 3, 0.3, 16
 #: Pseudo-counts of the suffix statistics, and of a leaf.
 PRIOR, LEAF = 20.0, 1.0
+#: Parts of the labelled URLs; a URL's own part doesn't count in its suffixes' statistics when trees are fitted.
+FOLDS = 5
+#: Suffixes of a URL and the features that their statistics give.
+SUFFIXES = {"s_last": "f_last_suffix", "s_two": "f_two_suffix", "s_ext": "f_extension"}
 SEED = 11
 FEATURES = (
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_hyphens",
@@ -42,7 +46,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; null if none does."""
+    """The longest rule that fits, and its verdict; null if none does. Of rules of one length the last by code points counts."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         cut = text.index("/") if "/" in text else len(text)
@@ -97,13 +101,14 @@ class UrlTrees:
 
     def with_suffix_statistics(self, df: DataFrame) -> DataFrame:
         """Adds the part of blocked URLs of each suffix; unknown suffixes have that of all."""
-        for column, name in (("s_last", "f_last_suffix"), ("s_two", "f_two_suffix"), ("s_ext", "f_extension")):
+        for column, name in SUFFIXES.items():
             if self.suffixes is None:
                 df = df.withColumn(name, F.lit(self.share))
                 continue
             # At most one row for each labelled URL of the bounded sample.
-            own = self.suffixes.where(F.col("kind") == column).select(F.col("suffix").alias("_suffix"), F.col("part").alias(name))
-            df = df.join(F.broadcast(own), F.col(column) == F.col("_suffix"), "left").drop("_suffix").fillna({name: self.share})
+            own = self.suffixes.where(F.col("kind") == column).withColumnRenamed("suffix", column).withColumnRenamed("part", name).drop("kind")
+            # Of rows with a fold the other folds' part counts.
+            df = df.join(F.broadcast(own), [c for c in own.columns if c != name], "left").fillna({name: self.share})
         return df
 
     def margin(self) -> Column:
@@ -150,16 +155,22 @@ def fit_trees(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = TREES,
     """
     order = F.xxhash64(F.lit(seed), "url", "blocked")
     sample = labelled.where(F.col("blocked").isNotNull()).select("url", "host", "path", F.col("blocked").cast("double").alias("y")).orderBy(order, "url").limit(max_rows)
-    sample = written(lexical_features(sample), "labelled_urls")
+    sample = lexical_features(sample).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "url"), F.lit(FOLDS)).cast("int"))
+    sample = written(sample, "labelled_urls")
     n, positive = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
     share = (positive + 1) / (n + 2) if n else 0.5
     model = UrlTrees(base=math.log(share / (1 - share)), share=share)
     if not n or positive in (0, n):
         return model
-    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("suffix")) for c in ("s_last", "s_two", "s_ext")]))
-    suffixes = sample.select(kinds.alias("x"), "y").groupBy("x.kind", "x.suffix").agg(((F.sum("y") + PRIOR * share) / (F.count(F.lit(1)) + PRIOR)).alias("part"))
-    model.suffixes = written(suffixes, "url_suffixes")
-    rows = model.with_suffix_statistics(sample).select("y", *FEATURES)
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("suffix")) for c in SUFFIXES]))
+    part = lambda y, n: (y + PRIOR * share) / (n + PRIOR)
+    folds = sample.select(kinds.alias("x"), "y", "fold").groupBy("x.kind", "x.suffix", "fold").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    folds = written(folds, "url_folds")
+    sums = folds.groupBy("kind", "suffix").agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"))
+    model.suffixes = written(sums.select("kind", "suffix", part(F.col("all_y"), F.col("all_n")).alias("part")), "url_suffixes")
+    # A labelled URL's own fold doesn't count in its suffixes' parts, else they would tell its label.
+    others = folds.join(sums, ["kind", "suffix"]).select("kind", "suffix", "fold", part(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")).alias("part"))
+    rows = replace(model, suffixes=written(others, "url_suffixes")).with_suffix_statistics(sample).select("y", *FEATURES)
     points = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
