@@ -160,17 +160,30 @@ class MergeReplay:
         pieces = [ids[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
         table = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
         for w in redo.tolist():
-            parts = self.byte_id[np.frombuffer(words[w], np.uint8)].tolist()
-            while len(parts) > 1:
-                ranks = [table.get(a * self.size + b, _NONE) for a, b in zip(parts, parts[1:])]
-                low = min(ranks)
-                if low == _NONE:
-                    break
-                k = ranks.index(low)
-                parts[k : k + 2] = [int(low)]
-            pieces[w] = np.array(parts, np.int32)
+            pieces[w] = self._merged(self.byte_id[np.frombuffer(words[w], np.uint8)].tolist(), table)
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
 
+    def _merged(self, parts: list[int], table: dict[int, int]) -> np.ndarray:
+        """Merges of one word: pairs wait in a heap by rank and place, and the word is a list linked both ways."""
+        n = len(parts)
+        ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i) for i in range(n - 1) if (r := table.get(parts[i] * self.size + parts[i + 1])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            r, i = heapq.heappop(waiting)
+            j = ahead[i]
+            # The place may have been merged away, or have another pair by now.
+            if parts[i] < 0 or j >= n or table.get(parts[i] * self.size + parts[j]) != r:
+                continue
+            parts[i], parts[j] = int(r), -1
+            ahead[i] = ahead[j]
+            if ahead[j] < n:
+                behind[ahead[j]] = i
+            for k in (behind[i], i):
+                if k >= 0 and ahead[k] < n and (new := table.get(parts[k] * self.size + parts[ahead[k]])) is not None:
+                    heapq.heappush(waiting, (new, k))
+        return np.array([p for p in parts if p >= 0], np.int32)
+
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of the words of each text; words that are new to this encoder are merged, all at once."""
         if len(self.cache) > CACHE_WORDS:

@@ -70,3 +70,16 @@ def test_cache_reset_does_not_matter(size, monkeypatch):
     own = MergeReplay(RANKS, P.PATTERN)
     for text in TEXTS[:5]:
         assert own.encode([text])[0].tolist() == REF.encode_ordinary(text)
+
+
+def test_one_word_by_steps():
+    """The word-by-word path against the library, over words of every kind, and one far too long for quadratic work."""
+    own = MergeReplay(RANKS, P.PATTERN)
+    rng = np.random.default_rng(9)
+    words = ["a", "the", "aaaaaaaaaaab", "éééé", "internationalization"] + ["".join(rng.choice(list("abcdeinrst"), int(rng.integers(2, 60)))) for _ in range(200)]
+    words.append("".join(rng.choice(list("einrstao"), 200_000)))
+    table = dict(zip(own.pair_keys.tolist(), own.pair_ranks.tolist()))
+    for w in words[:-1]:
+        assert own._merged(own.byte_id[np.frombuffer(w.encode(), np.uint8)].tolist(), table).tolist() == REF.encode_ordinary(w)
+    long = own._merged(own.byte_id[np.frombuffer(words[-1].encode(), np.uint8)].tolist(), table)
+    assert long.tolist() == own.replay([words[-1].encode()])[0].tolist()
