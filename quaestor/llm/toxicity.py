@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import byte_view, range_hashes, range_sums, spans_of, trimmed, words_of
+from quaestor.llm.common import byte_view, range_hashes, range_sums, spans_of, trimmed, words_of, written
 
 #: Weights are indexed by the low bits of a word's hash.
 BITS = 18
@@ -28,6 +28,9 @@ PREFIXES = (4, 5, 6, 7)
 MAX_SENTENCE = 40
 #: Labelled documents of each label that the fit takes at most.
 MAX_DOCS = 3_000
+#: Bytes of text that the fit takes at most, and those of one document; longer ones aren't learned from.
+MAX_BYTES = 48 << 20
+MAX_TEXT = 1 << 20
 #: Words in fewer of the sampled documents get no weight.
 MIN_DOCS = 4
 THRESHOLD = 0.3
@@ -156,11 +159,11 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: int = SEED) -> NoisyOr:
-    """Fits on max_docs labelled documents of each label at most, those first by a seeded hash.
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: int = SEED, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> NoisyOr:
+    """Fits on max_docs labelled documents of each label at most, those first by a seeded hash, and max_bytes of text in all.
 
-    Held-out rows, null labels and null ids are never used. Without labels of both kinds every
-    score is the same.
+    Held-out rows, null labels and null ids are never used, nor texts of more than max_text bytes. An id that repeats is one
+    document, with the first of its texts. Without labels of both kinds every score is the same.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -168,10 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: in
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
     # Ids are chosen before the texts are touched, so only the sample's texts move.
     chosen = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_docs) for y in (0, 1)]
-    sample = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    sample = written(chosen[0].unionByName(chosen[1]), "labelled")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= max_text).join(F.broadcast(sample), "doc_id")  # 2 * max_docs ids
+    own = written(own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled_texts")
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = own.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= max_bytes)  # of the sample's ids only
+    rows = own.join(F.broadcast(within.select("doc_id")), "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist(), share)
+    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), share)
 
 
 def score_documents(docs: DataFrame, model: NoisyOr, spans: bool = False, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
@@ -219,7 +227,10 @@ def score_documents(docs: DataFrame, model: NoisyOr, spans: bool = False, keep:
 
 
 def clean_documents(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays below the threshold."""
+    """The rows of docs, with all their columns, whose score stays below the threshold.
+
+    Null and empty texts score 0 and stay; rows that repeat, and rows without an id, are judged each. An empty table gives an empty result.
+    """
     text = docs.columns.index("text")
     weights, bias = model.weights, model.bias
 

@@ -106,3 +106,38 @@ def test_fit_takes_three_thousand_of_each_label(spark, monkeypatch):
     monkeypatch.setattr(T, "fit", lambda texts, labels, share: taken.append((labels.count(0), labels.count(1))))
     T.train(docs, labels)
     assert taken == [(3000, 3000)]
+
+
+def test_sample_is_bounded_in_bytes_and_by_id(spark, monkeypatch):
+    """Repeated ids are one document, over-long texts aren't learned from, and the bytes of all stay below the bound."""
+    rows = corpus(120)
+    docs = [(i, t) for i, t, _ in rows] + [(0, "zzz another text of the same id")] * 50 + [(500, "word " * 5000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, toxic string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(500, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, labels, share: seen.append(texts))
+    T.train(df, labels, max_text=10_000)
+    usable = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(seen[0]) == sorted(t for _, t in usable)
+    T.train(df, labels, max_bytes=2_000, max_text=10_000)
+    assert 0 < sum(len(t.encode()) for t in seen[1]) <= 2_000 and set(seen[1]) < set(seen[0])
+
+
+def test_weights_are_near_a_minimum(model):
+    """Independent likelihood, sentence by sentence: no step of a single weight or the bias makes it clearly better."""
+    rows = corpus(600)
+    y = np.array([r[2] for r in rows])
+
+    def loss(m):
+        p = np.clip([m.score(*view([r[1]]))[0][0] for r in rows], 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(y == 1, np.log(p), np.log1p(-p)))
+
+    base = loss(model)
+    slots = [int(T.instances(*view([w]))[0][0, 0]) for w in (*BAD, *CLEAN[:4])]
+    for slot in [None, *slots]:
+        for step in (-0.5, 0.5):
+            weights = model.weights.copy()
+            if slot is not None:
+                weights[slot] += step
+            moved = T.NoisyOr(weights, model.bias + (step if slot is None else 0.0))
+            assert loss(moved) > base - 0.01
