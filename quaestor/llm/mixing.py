@@ -101,19 +101,21 @@ def mix(
     shard_rows: int = SHARD_ROWS,
     seed: int = SEED,
     keep: tuple[str, ...] = (),
+    size: str | None = None,
 ) -> DataFrame:
     """What the mix takes of each document.
 
-    docs has doc_id, text, source. Returns one row per input row: doc_id, size, source_size,
+    docs has doc_id, text, source; with size, a column of words that are counted already stands for the text. Returns one row per input row: doc_id, size, source_size,
     target (of its source), taken (words, repeats counted), epochs (whole copies), blocks (the
     further blocks, as structs of first and last word in the document, the last not included) and
     the columns keep, prefixed with keep_. A null text has size 0 and nothing is taken of it; null
     is a source of its own, last in order. Repeated rows count each; a null doc_id stays null. An
     empty table gives an empty result; a document takes max_epochs times its size at most.
     """
-    df = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    if not keep:
-        # Words are counted once; without texts the table is narrow.
+    words = count_words(F.col("text")) if size is None else F.col(f"`{size}`")
+    df = docs.select("doc_id", "source", words.alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    if size is None:
+        # Words are counted once.
         df = written(df, "sizes")
     df = df.withColumn("h", _seeded(seed, F.col("doc_id")))
     totals = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("n_shards"))
@@ -178,21 +180,27 @@ def _with_source(df: DataFrame, by_source: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy, and one whose text is
-    the further blocks of the document. Documents of which nothing is taken go."""
+    the further blocks of the document. Documents of which nothing is taken go: null and empty texts always do.
+
+    Rows that repeat, with the same id or without one, count each. An empty table gives an empty result. Columns of any name
+    stay as they are. The plan is made on sizes alone; each text moves once, to meet what is taken of it.
+    """
     columns = docs.columns
-    plan = mix(docs, keep=tuple(columns), **options)
-    text = F.col("keep_text")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("doc")
+    sized = written(docs.select(F.monotonically_increasing_id().alias("row"), row, count_words(F.col("text")).alias("size")), "sized")
+    plan = mix(sized.select("doc.doc_id", "doc.source", "size", "row"), keep=("row",), size="size", **options)
+    plan = plan.where(F.col("taken") > 0).select(F.col("keep_row").alias("row"), "epochs", "blocks")
+    plan = sized.select("row", "doc").join(plan, "row")
+    text = F.col("doc.text")
     tokens = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # The words are the argument of an outer transform, so that they are made once and not for each block.
     chosen = F.transform(F.array(tokens), lambda t: F.flatten(F.transform("blocks", lambda x: F.slice(t, (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))))
-    part = F.array_join(chosen[0], "")
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("epochs")), lambda _: text)
-    copies = F.concat(
-        F.when(F.col("epochs") > 0, whole).otherwise(F.array().cast("array<string>")),
-        F.when(F.size("blocks") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
-    )
-    rows = plan.where(F.col("taken") > 0).withColumn("copy", F.explode(copies))
-    return rows.select(*[(F.col("copy") if c == "text" else F.col(f"keep_{c}")).alias(c) for c in columns])
+    part = F.when(F.size("blocks") > 0, F.array(F.array_join(chosen[0], ""))).otherwise(F.array().cast("array<string>"))
+    # Whole copies are told by a null, so that only one text stands beside the list.
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("epochs")), lambda _: F.lit(None).cast("string"))
+    copies = F.concat(F.when(F.col("epochs") > 0, whole).otherwise(F.array().cast("array<string>")), part)
+    rows = plan.select("doc", F.explode(copies).alias("copy"))
+    return rows.select(*[(F.coalesce("copy", text) if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in columns])
 
 
 def mix_sql(

@@ -115,3 +115,20 @@ def test_documents_follow_the_plan(spark):
 
 def test_empty_table(spark):
     assert mix(rows_of(spark, [])).count() == 0
+
+
+def test_documents_with_odd_columns_and_repeated_rows(spark):
+    """Clashing and dotted names stay; rows repeated with one id are each mixed; what is taken is what the plan says."""
+    rows = [(1, "a b c " * 300, "x", 1, 2, 3)] * 3 + [(2, "d e f " * 300, None, 1, 2, 3), (None, "g h " * 200, "x", 4, 5, 6), (3, None, "x", 7, 8, 9), (4, "", "x", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, `size.of` int, blocks int").repartition(3)
+    got = mixed_documents(df)
+    assert got.columns == df.columns
+    taken = {}
+    for r in got.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split())
+        assert (r["row"], r["size.of"], r["blocks"]) == ((4, 5, 6) if r.doc_id is None else (1, 2, 3))
+    want = {}
+    for r in mix(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert taken == {k: v for k, v in want.items() if v}
+    assert mixed_documents(df.limit(0)).count() == 0
