@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, site_column: str = "source", max_ratio: float =
     pages = docs.select(F.col(site_column).alias("site"), "text")
     boiler = boilerplate(pages, max_ratio, min_pages, copies_once)
     columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    wide = docs.select(F.struct(*columns).alias("row"), F.col(site_column).alias("site"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("row"), F.col(site_column).alias("site"))
     wide = with_site(wide, boiler)
     lines = _lines(F.col("row.text"))
     wide = wide.withColumn("lines", lines)
