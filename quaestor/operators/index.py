@@ -104,8 +104,11 @@ def write(docs: DataFrame, path: str, analyser: str = "plain") -> Index:
         raise ValueError(f"no such analyser: {analyser}")
     spark = docs.sparkSession
     dealt = postings(docs, analyser).withColumn("bucket", F.pmod(F.crc32("word"), F.lit(BUCKETS)).cast("int"))
-    # Tasks write few folders each, and the words of a folder stand together for its row groups' statistics.
-    dealt.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # Tasks write few folders each, and the words of a folder stand together for its row groups' statistics. A folder is
+    # dealt over several tasks by document, so that a common word is no task's alone.
+    tasks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
+    dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("uid"), F.lit(tasks))).sortWithinPartitions("bucket", "word")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     sizes_of(docs).write.parquet(f"{path}/documents")
     each = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), F.col(f"{z}_size").alias("size")) for z in ZONES]))
     sizes = spark.read.parquet(f"{path}/documents").select(each.alias("x")).select("x.zone", "x.size")
