@@ -485,7 +485,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each class stays: the one with the smallest doc_id (null last). The columns are those of docs."""
+    """One row of each class stays: the one with the smallest doc_id (null last). The columns are those of docs.
+
+    Null texts count as empty and equal texts as one class, so one row stays of all that are empty and one of rows that repeat.
+    An empty table gives an empty result.
+    """
     classes = near_classes(docs, threshold)
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("sha"))
