@@ -52,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
     """Wraps an Arrow function of a stage: when a task ends, its worker gives freed memory back to the system.
 
@@ -63,9 +70,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapper
 

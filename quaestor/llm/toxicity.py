@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import byte_view, range_hashes, range_sums, spans_of, trimmed, words_of, written
+from quaestor.llm.common import byte_view, give_back, range_hashes, range_sums, spans_of, trimmed, words_of, written
 
 #: Weights are indexed by the low bits of a word's hash.
 BITS = 18
@@ -179,7 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, seed: in
     within = own.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= max_bytes)  # of the sample's ids only
     rows = own.join(F.broadcast(within.select("doc_id")), "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), share)
+    model = fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), share)
+    del rows
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def score_documents(docs: DataFrame, model: NoisyOr, spans: bool = False, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
