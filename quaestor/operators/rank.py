@@ -22,14 +22,14 @@ Source = DataFrame | Index
 
 
 def stemmed_postings(docs: DataFrame) -> DataFrame:
-    """Postings by stem: words are chosen and counted as they stand, then those of a stem are added up."""
+    """Postings by stem: words are chosen as they stand, and those of a stem are counted together."""
     return postings(docs, "stem")
 
 
 def query_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Postings of the query's words only: texts are searched for them before anything is counted."""
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return postings(docs, words=lambda text: F.filter(tokens(text), lambda w: F.array_contains(wanted, w)))
+    return I.postings_of(docs, lambda text: F.filter(tokens(text), lambda w: F.array_contains(wanted, w)))
 
 
 def _terms(source: Source, question: str) -> list[str]:

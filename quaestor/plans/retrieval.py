@@ -35,12 +35,12 @@ def _tfidf(n_terms: int) -> str:
 
 @query(f"{WITH}, {POSTINGS}, {STEMMED}, {_tfidf(len(STEM_TERMS))}")
 def tfidf_stemmed_topk(spark, sf_dir):
-    return rank.top_k(rank.tfidf(indexed(spark, sf_dir, "stem"), FORMS), TOP)
+    return rank.top_k(rank.tfidf(indexed(spark, sf_dir, "stem", FORMS), FORMS), TOP)
 
 
 @query(f"{WITH}, {POSTINGS}, {STEMMED}, {BM25} select * from bm25 order by score desc, uid desc limit {TOP}")
 def bm25_stemmed_topk(spark, sf_dir):
-    return rank.top_k(rank.bm25(indexed(spark, sf_dir, "stem"), FORMS), TOP)
+    return rank.top_k(rank.bm25(indexed(spark, sf_dir, "stem", FORMS), FORMS), TOP)
 
 
 _MARKS = X.PUNCTUATION.replace("'", "''")
@@ -64,7 +64,7 @@ LITERAL = f"""literal as (select uid, zone, lower(word) as word from (
 
 @query(f"with {DOCS}, {LITERAL}, {_tfidf(len(LITERAL_TERMS))}")
 def tfidf_literal_topk(spark, sf_dir):
-    return rank.top_k(rank.tfidf(indexed(spark, sf_dir, "literal"), FORMS), TOP)
+    return rank.top_k(rank.tfidf(indexed(spark, sf_dir, "literal", FORMS), FORMS), TOP)
 
 
 @query(f"""with {DOCS}, c as (select uid, {_clean("question_body")} as clean from docs where question_body is not null)
