@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions.stem import _SPECIAL, _STEP2, _STEP3, _STEP4, may_stem_to, stem
-from quaestor.functions.text import tokens
+from quaestor.functions.text import ANY_URL, PUNCTUATION, clean, tokens
 from quaestor.operators import index, rank
 from quaestor.plans import catalogue
 from quaestor.sources import shared
@@ -82,3 +82,20 @@ def test_words_between_any_blanks(spark):
     text = " \t\nOne,two\r\n\f three -- four'5 \x0bsix  \n"
     rows = spark.createDataFrame([(text,), ("",), (None,), ("  ",)], "t string")
     assert [r.w for r in rows.select(tokens(F.col("t")).alias("w")).collect()] == [["onetwo", "three", "four5", "\x0bsix "], [], [], []]
+
+
+def test_cleaning_of_long_words(spark):
+    """Each letter of a word was tried as the start of an address, so the time grew with the square of the word."""
+    import re
+    import time
+
+    long = "a" * 400_000
+    texts = ["see ab+c://x.y/z?q=1, é1://h-o.s/p//q end", "a://b.c.://d e_f://g:h://i", "no://", "x: //y", "_://_ ://a -b://c", long, f"{long} {long}://x/y z", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    began = time.perf_counter()
+    got = [r.c for r in rows.select("k", clean(F.col("t"), any_scheme=True).alias("c")).orderBy("k").collect()]
+    assert time.perf_counter() - began < 30
+    address = re.compile(ANY_URL.replace(r"\p{L}\p{N}_", r"\w"))
+    want = [address.sub("", t) if len(t) < 1000 else t for t in texts[:-1]]
+    want[-1] = f"{long}  z"
+    assert got == [w.translate(str.maketrans("", "", PUNCTUATION)) for w in want] + [None]
